@@ -22,6 +22,8 @@ M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CLASS = np.zeros(256, np.uint8)  # 0 space and control, 1 word, 2 punctuation
 CLASS[0x21:0x7F] = 2
 CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x5F, *range(0x80, 0x100)]] = 1
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[0x41:0x5B] += 0x20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +52,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever the case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -106,13 +116,27 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Lower case of the ASCII and Latin-1 letters in UTF-8; every byte stays where it is."""
+    buf = FOLD[buf]
+    at = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    at = at[(buf[at] >= 0x80) & (buf[at] <= 0x9E) & (buf[at] != 0x97)]
+    buf[at] += 0x20
+    return buf
+
+
 class Words:
-    """Tokens of many texts: byte ``start`` and ``end``, ``hash``, ``row``, and the n + 1 offsets ``first`` by row."""
+    """Tokens of many texts: byte ``start`` and ``end``, ``hash``, ``row``, and the n + 1 offsets ``first`` by row.
+
+    ``in_place`` folds case so that offsets hold for the text as it is; else all letters are lower-cased first.
+    """
 
-    def __init__(self, texts: pa.Array, punct: bool = False, lower: bool = True):
-        if lower:
+    def __init__(self, texts: pa.Array, punct: bool = False, in_place: bool = False):
+        if not in_place:
             texts = pc.utf8_lower(pc.fill_null(texts, ""))
         buf, self.off = raw(texts)
+        if in_place:
+            buf = folded(buf)
         n, rows = len(buf), len(self.off) - 1
         c = CLASS[buf]
         if not punct:

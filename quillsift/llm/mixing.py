@@ -43,32 +43,28 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return s.select("src", F.round(F.coalesce(rate, F.lit(0.0)) * ONE).cast("long").alias("step"), unit.alias("start"))
 
 
-def copies(docs: DataFrame, blocks: int = BLOCKS, **options) -> DataFrame:
-    """(doc_id, source, copy): a row for every copy emitted, copies of a document numbered from 0."""
-    return drawn(docs, ["doc_id", "source"], blocks, **options).select("doc_id", "source", "copy")
-
-
 def drawn(docs: DataFrame, columns: list[str], blocks: int = BLOCKS, **options) -> DataFrame:
-    r = F.broadcast(rates(docs, **options))  # a row a source
-    if "text" in columns:
-        tie = F.xxhash64("text")
-    else:
-        tie = F.xxhash64(F.col("text"))
-    d = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("source", F.lit("")).alias("_src"), F.coalesce(F.expr(f"pmod(doc_id, {blocks})"), F.lit(0)).alias("_block"), tie.alias("_tie"))
-    sums = docs.groupBy(F.coalesce("source", F.lit("")).alias("_src"), F.coalesce(F.expr(f"pmod(doc_id, {blocks})"), F.lit(0)).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_src").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("_src", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_src", "_block").orderBy("doc_id", "_tie"))
-    d = d.withColumn("_rank", rank).join(sums, ["_src", "_block"]).join(r.withColumnRenamed("src", "_src"), "_src")
-    upto = (F.col("_before") + F.col("_rank")) * F.col("step") + F.col("start")
-    one = F.lit(ONE)
-    d = d.withColumn("_copies", (F.floor(upto / one) - F.floor((upto - F.col("step")) / one)).cast("int"))
-    return d.where("_copies > 0").withColumn("copy", F.explode(F.expr("sequence(0, _copies - 1)")))
+    """(row, copy): a row for every copy emitted, with ``columns`` of the document as a struct."""
+    src, block = F.coalesce("source", F.lit("")).alias("src"), F.coalesce(F.expr(f"pmod(doc_id, {blocks})"), F.lit(0)).alias("block")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), src, block, F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+    sums = docs.groupBy(src, block).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("src", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("src", "block").orderBy("id", "tie"))
+    d = d.withColumn("rank", rank).join(sums, ["src", "block"]).join(F.broadcast(rates(docs, **options)), "src")  # a row a source
+    upto = (F.col("before") + F.col("rank")) * F.col("step") + F.col("start")
+    n = (F.floor(upto / F.lit(ONE)) - F.floor((upto - F.col("step")) / F.lit(ONE))).cast("int")
+    return d.select("row", n.alias("n")).where("n > 0").select("row", F.explode(F.expr("sequence(0, n - 1)")).alias("copy"))
+
+
+def copies(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, copy): a row for every copy emitted, copies of a document numbered from 0."""
+    return drawn(docs, ["doc_id", "source"], **options).select("row.doc_id", "row.source", "copy")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mixture with the columns of ``docs``; a document drawn k times is there k times."""
-    return drawn(docs, docs.columns, **options).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return drawn(docs, docs.columns, **options).select("row.*")
 
 
 def oracle(blocks: int = BLOCKS, temperature: float = TEMPERATURE, seed: str = SEED) -> str:
