@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, mixing, near_dedup, packing, quality_rules, substring_dedup, token_counts, warc
+from . import image_copies, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.conversations(_read(spark, sf_dir, "conversations"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_copies.copies(image_copies.media(_read(spark, sf_dir, "embeddings")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.spans(_read(spark, sf_dir, "documents"))
 
@@ -46,7 +54,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_packing, op5_substring_dedup, op6_lm_scoring, op7_mixing, op8_token_counts, op9_quality_rules, op10_warc)
+    found = (
+        op1_near_dedup, op2_packing, op3_quality_classifier, op4_image_copies, op5_substring_dedup,
+        op6_lm_scoring, op7_mixing, op8_token_counts, op9_quality_rules, op10_warc,
+    )
     return {f.__name__: f for f in found}
 
 
