@@ -7,25 +7,45 @@ again as the next stage's ``docs``. All stages but the last return the columns o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillsift.llm import common, mixing, quality_rules
+from quillsift.llm import common, mixing, near_dedup, packing, quality_rules, substring_dedup
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that read like trusted text; those rejected go."""
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one, or they themselves, hold already; ``n_chars`` is kept in step."""
+    cut = substring_dedup.cut(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(cut.schema["n_chars"].dataType)) if "n_chars" in cut.columns else cut
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources have their target weights."""
     return mixing.mixed(docs)
 
 
-STAGES = [("quality rules", rules), ("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pack and place of every document, or piece of one."""
+    return packing.documents(docs)
+
+
+STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("mixing", mix), ("packing", pack)]
 
 #: Hashed multinomials, set similarity and greedy packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, each stage written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir))
