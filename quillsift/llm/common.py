@@ -60,6 +60,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain_names(df: DataFrame) -> list[str]:
+    """The column names of ``df``, with others in place of those that mapInArrow can't resolve."""
+    out: list[str] = []
+    for i, c in enumerate(df.columns):
+        out.append(fresh(df, f"c{i}") if "." in c or "`" in c else c)
+    return out
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

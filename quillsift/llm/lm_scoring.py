@@ -170,7 +170,7 @@ def scores(docs: DataFrame, corpus: DataFrame | None = None, most_bytes: int = M
 
     def result(s, w, q1, q2, second):
         lp = _log_probs(q1, q2, second, words, distinct)
-        total = np.bincount(w.row, lp, minlength=s.num_rows)
+        total = np.bincount(w.row, lp, minlength=s.num_rows).astype(np.float64)  # of no words it is whole numbers
         many = np.diff(w.first)
         with np.errstate(invalid="ignore", divide="ignore"):
             each = np.exp(np.minimum(-total / many, 700))

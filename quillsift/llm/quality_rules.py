@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fresh, mix, slices, small
+from .common import Words, fresh, mix, plain_names, slices, small
 
 BUCKETS = 1 << 20
 LOWEST = 0.02
@@ -149,14 +149,14 @@ class Rule:
         return self._marked(docs).mapInArrow(score, "doc_id long, score double, n_tokens long, keep boolean")
 
     def kept(self) -> DataFrame:
-        names = self.docs.columns
+        names, own = plain_names(self.docs), self.docs.columns
 
         def keep(batches):
             for s in slices(batches):
                 ok = pa.array(self.judged(s)[2])
-                yield s.select(names).filter(ok)
+                yield pa.RecordBatch.from_arrays([s.column(c) for c in names], own).filter(ok)
 
-        return self._marked(self.docs).mapInArrow(keep, self.docs.schema)
+        return self._marked(self.docs.toDF(*names)).mapInArrow(keep, self.docs.schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, fresh, mix, partitions, powers, raw, slices, small, stored, unpack
+from .common import Words, blocks, fresh, mix, partitions, plain_names, powers, raw, slices, small, stored, unpack
 
 LENGTH = 50
 PERIOD = 31
@@ -190,8 +190,8 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = fresh(docs, "spans")
     found = stored(spans(docs, length).where("NOT first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(own)))
     few = found.agg(F.sum(F.size(own))).first()[0] or 0
-    joined = docs.join(F.broadcast(found) if few <= MOST_IDS else found, "doc_id", "left")
-    names = docs.columns
+    names, schema = plain_names(docs), docs.schema
+    joined = docs.toDF(*names).join(F.broadcast(found) if few <= MOST_IDS else found, "doc_id", "left")
 
     def rebuilt(batches):
         for b in batches:
@@ -207,6 +207,6 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         texts[i] = "".join([*parts, t[at:]])
                         keep[i] = any(ch.isalnum() for ch in texts[i])
                 columns = [pa.array(texts, s.schema.field("text").type) if c == "text" else s.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep))
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], own).mapInArrow(rebuilt, docs.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], own).mapInArrow(rebuilt, schema)
