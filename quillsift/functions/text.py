@@ -8,12 +8,12 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .stem import porter, porter2
+from .stopwords import ENGLISH
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 SENTENCE_KEEPERS = "Dr Gov Jr Mr Mrs Ms Prof Rep Sen Sr".split()
@@ -82,9 +82,8 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
-@cache
 def default_stopwords() -> tuple[str, ...]:
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    return ENGLISH
 
 
 def remove_stopwords(c: Column, words: list[str] | None = None) -> Column:
