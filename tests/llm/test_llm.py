@@ -117,6 +117,20 @@ def test_near_dedup_against_brute_force(spark):
     assert len({got.get(i) for i in range(len(small), len(texts))}) == 1
 
 
+def test_near_dedup_verifies_pairs_among_many_of_just_less(spark):
+    texts = []
+    for i in range(300):  # 101 words of all, 14 of two documents, 35 of one: 0.50 for most pairs, 0.62 for those of two
+        texts.append(" ".join([f"all{k}" for k in range(101)] + [f"two{i // 2}x{k}" for k in range(14)] + [f"one{i}x{k}" for k in range(35)]))
+    sets = [shingles(t) for t in texts]
+    true = {p for p in itertools.combinations(range(300), 2) if len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) >= near_dedup.LAMBDA}
+    assert true == {(i, i + 1) for i in range(0, 300, 2)}
+    got = collections.defaultdict(set)
+    for x in near_dedup.groups(frame(spark, texts)).collect():
+        got[x["group_id"]].add(x["doc_id"])
+    found = {tuple(sorted(g)) for g in got.values()}
+    assert found <= true and len(found) >= 0.95 * len(true)
+
+
 def test_substring_dedup_against_brute_force(spark):
     r = np.random.default_rng(2)
     shared = [words(r, n) for n in (50, 51, 80, 49)]
