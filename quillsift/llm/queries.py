@@ -34,7 +34,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.scores(_read(spark, sf_dir, "documents"))
+    return lm_scoring.scores(_read(spark, sf_dir, "documents"), singles=True)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from quillsift.llm import common, image_copies, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_counts, warc
+from quillsift.llm.queries import queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in ("ba", "lo", "mi", "tu", "re") for b in ("n", "r", "st", "k") for c in ("a", "o", "im", "ens", "ul")]
@@ -244,6 +245,32 @@ def test_lm_scores_against_exact_counts(spark):
         assert abs(got[x["doc_id"]]["log_prob"] - x["log_prob"]) < 1e-6
 
 
+def test_lm_query_scores_by_all_counts(spark, tmp_path):
+    r = np.random.default_rng(18)
+    texts = [" ".join(WORDS[min(int(x), 99)] for x in r.exponential(25, int(r.integers(1, 60)))) for _ in range(60)]
+    one, two = collections.Counter(), collections.Counter()
+    for t in texts:
+        w = t.split()
+        one.update(w)
+        two.update(zip(w, w[1:]))
+    assert sum(n == 1 for n in two.values()) > 0.4 * len(two)
+    q = lambda n: (2 ** (n.bit_length() - 1) + 2 ** n.bit_length() - 1) / 2
+    p1 = lambda w: (q(one[w]) + 0.5) / (sum(one.values()) + len(one) / 2 + 0.5)
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["log_prob"] for x in queries()["op6_lm_scoring"](spark, str(tmp_path)).collect()}
+    off = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        lp = sum(np.log(lm_scoring.WEIGHT * min(1, q(two[w[k - 1], x]) / q(one[w[k - 1]])) + (1 - lm_scoring.WEIGHT) * p1(x)) if k else np.log(p1(x)) for k, x in enumerate(w))
+        off.append(abs(got[i] - lp) / len(w))
+    assert np.mean(off) < 0.02
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for x in lm_scoring.scores(d, most_bytes=300, singles=True).collect():
+        assert abs(got[x["doc_id"]] - x["log_prob"]) < 1e-6
+    seen, never = lm_scoring.scores(frame(spark, ["bana bano"]), corpus=frame(spark, ["bana bano"]), singles=True).collect(), lm_scoring.scores(frame(spark, ["bano bana"]), corpus=frame(spark, ["bana bano"]), singles=True).collect()
+    assert seen[0]["log_prob"] > never[0]["log_prob"] + 0.5
+
+
 def test_mixing_against_brute_force(spark):
     r = np.random.default_rng(9)
     rows = [(int(i), "x" * int(r.integers(0, 50)), None, ("a", "a", "a", "b", None)[int(r.integers(5))], 1) for i in r.permutation(300)]
