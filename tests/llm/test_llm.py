@@ -221,6 +221,21 @@ def test_image_copies_against_brute_force(spark):
     assert len(got & {(2 * k, 2 * k + 1) for k in range(30)}) >= 24 and not [p for p in got if p[0] // 2 != p[1] // 2]
 
 
+def test_image_corners_meet_up_to_the_farthest_match(spark):
+    r = np.random.default_rng(16)
+    c = np.zeros((400, 2), image_copies._CORNER)
+    flat = r.integers(0, 2, (400, 1, image_copies.TESTS)).repeat(2, 1)
+    for k in range(400):
+        flat[k, 1, r.choice(image_copies.TESTS, image_copies.FARTHEST, replace=False)] ^= 1
+    c["id"] = np.arange(800).reshape(400, 2)
+    c["bits"] = np.packbits(flat.astype(bool), axis=2).view("<u4")
+    entries = np.zeros((image_copies.BANDS, 800), [("band", "u1"), ("corner", image_copies._CORNER)])
+    entries["band"], entries["corner"] = np.arange(image_copies.BANDS)[:, None], c.reshape(-1)
+    blocked = spark.createDataFrame([(0, bytearray(entries.tobytes()))], "bucket int, corners binary")
+    got = [tuple(sorted((int(x["id"]), int(y["id"])))) for row in image_copies.matches(blocked, 1).collect() for x, y in zip(np.frombuffer(row["a"], image_copies._CORNER), np.frombuffer(row["b"], image_copies._CORNER))]
+    assert sorted(got) == [(2 * k, 2 * k + 1) for k in range(400)]
+
+
 def test_lm_scores_against_exact_counts(spark):
     r = np.random.default_rng(8)
     texts = [" ".join(WORDS[min(int(x), 99)] for x in r.exponential(12, int(r.integers(0, 80)))) for _ in range(60)]
