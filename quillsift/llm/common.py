@@ -72,6 +72,12 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(df: DataFrame, each: int = 32 << 20) -> int:
+    """How many blocks by hash to make of what is gathered from ``df``: four a partition, and so many that one holds about ``each`` bytes of input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(4 * partitions(df), min(size // each, 1 << 17))
+
+
 def small(df: DataFrame, column: str, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows of one number each; else Spark joins by shuffle."""
     df = df.select(column)

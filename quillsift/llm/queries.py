@@ -26,7 +26,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_copies.copies(image_copies.media(_read(spark, sf_dir, "embeddings")))
+    return image_copies.groups(image_copies.media(_read(spark, sf_dir, "embeddings")))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
