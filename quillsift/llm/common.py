@@ -75,7 +75,7 @@ def partitions(df: DataFrame) -> int:
 def buckets(df: DataFrame, each: int = 32 << 20) -> int:
     """How many blocks by hash to make of what is gathered from ``df``: four a partition, and so many that one holds about ``each`` bytes of input."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(4 * partitions(df), min(size // each, 1 << 17))
+    return max(4 * partitions(df), min(size // each, 1 << 17) if size < 1 << 55 else 0)  # beyond that, Spark doesn't know
 
 
 def small(df: DataFrame, column: str, most_rows: int) -> DataFrame:

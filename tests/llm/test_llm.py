@@ -227,7 +227,7 @@ def brute_copies(c):
         m = np.empty(len(i), image_copies._MATCH)
         m["a"], m["b"], m["at"] = *p, np.stack([c["x"][i], c["y"][i], c["x"][j], c["y"][j]], 1)
         m["angle"], m["level"] = np.stack([c["angle"][i], c["angle"][j]], 1), np.stack([c["level"][i], c["level"][j]], 1)
-        if len(m) >= image_copies.INLIERS and image_copies.agreed(np.unique(m))[0] >= image_copies.INLIERS:
+        if len(m) >= image_copies.INLIERS and image_copies.agreed(image_copies.distinct(m))[0] >= image_copies.INLIERS:
             out.add(p)
     return out
 
