@@ -6,6 +6,7 @@ Hashes are 64-bit and depend on the bytes alone, so every worker and every retry
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -27,8 +28,10 @@ FOLD[0x41:0x5B] += 0x20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests, a single machine) one is chosen here."""
+    """A new folder below spark.checkpoint.dir; only where that is unset and all runs in one process one is chosen here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = f"file:///tmp/quillsift-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(base)

@@ -1,9 +1,8 @@
 """LM scoring with a log-frequency Bloom filter.
 
 All n-grams of words (lower-cased) up to ORDER 2 of all documents are counted. A count c is quantised to the level
-q = 1 + floor(log2 c), and the filter holds the items (n-gram, level) for every level up to q: with ``singles``, as in the
-registered query, from level 1 for all n-grams, so that it is the model of all counts; without, from level 2 for pairs, which
-takes pairs seen once for unseen. A document's own counts are part of the model. A count is read back by probing level after level until one
+q = 1 + floor(log2 c), and the filter holds the items (n-gram, level) for every level from 1 up to q, so it is the model of
+all counts. A document's own counts are part of the model. A count is read back by probing level after level until one
 is missing: an n-gram is never taken for rarer than it is, and taken for more frequent by a level with a chance of
 2 ** -PROBES. The count of level q is (2 ** (q - 1) + 2 ** q - 1) / 2. A word's probability is interpolated,
 p(w | v) = WEIGHT * c(vw) / c(v) + (1 - WEIGHT) * p(w), with p(w) = (c(w) + 1/2) / (N + V/2 + 1/2).
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, mix, partitions, slices, stored, unpack
+from .common import Words, blocks, buckets, mix, slices, stored, unpack
 
 PROBES = 8
 BITS = 12  # for each item, of which PROBES / ln 2 are needed
@@ -62,9 +61,9 @@ def _item(h: np.ndarray, q) -> tuple[np.ndarray, np.ndarray]:
     return g, mix(g) | np.uint64(1)
 
 
-def filter_blocks(docs: DataFrame, singles: bool = False) -> DataFrame:
+def filter_blocks(docs: DataFrame) -> DataFrame:
     """(bucket, bits, data, words, distinct): the blocks of the filter; words and distinct words counted in each."""
-    n = 4 * partitions(docs)
+    n = buckets(docs)
 
     def count(batches):
         held, rows = [], 0
@@ -91,12 +90,11 @@ def filter_blocks(docs: DataFrame, singles: bool = False) -> DataFrame:
         at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         h, c = h[at], np.add.reduceat(c, at)
         word = (h & np.uint64(1)) == 0
-        q, least = level(c), np.where(word | singles, 1, 2)
-        many = np.maximum(q - least + 1, 0)
-        bits = max(64, int(many.sum()) * BITS)
+        q = level(c)
+        bits = max(64, int(q.sum()) * BITS)
         data = np.zeros(bits, bool)
         for j in range(1, int(q.max()) + 1):
-            g, step = _item(h[(q >= j) & (least <= j)], j)
+            g, step = _item(h[q >= j], j)
             for _ in range(PROBES):
                 data[(g % np.uint64(bits)).astype(np.int64)] = True
                 g = g + step
@@ -109,8 +107,8 @@ def filter_blocks(docs: DataFrame, singles: bool = False) -> DataFrame:
 class Filter:
     """The blocks of some buckets, ready for probing."""
 
-    def __init__(self, n: int, table: pa.Table, singles: bool = False):
-        self.singles, self.n, self.bits, self.start = singles, n, np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    def __init__(self, n: int, table: pa.Table):
+        self.n, self.bits, self.start = n, np.zeros(n, np.uint64), np.zeros(n, np.int64)
         b, data = table["bucket"].to_numpy(), table["data"].to_pylist()
         self.bits[b] = table["bits"].to_numpy()
         size = np.array([len(x) for x in data], np.int64)
@@ -123,19 +121,17 @@ class Filter:
         q = np.zeros(len(h), np.uint8)
         bits, start = self.bits[b := _bucket(h, self.n)], self.start[b]
         left = np.flatnonzero(bits > 0)
-        late = (h & np.uint64(1)).astype(bool) & (not self.singles)  # those held from level 2
         for j in range(1, LEVELS + 1):
-            test = left if j > 1 else left[~late[left]]
-            g, step = _item(h[test], j)
-            ok = np.arange(len(test))
+            g, step = _item(h[left], j)
+            ok = np.arange(len(left))
             for _ in range(PROBES):
-                at = (g[ok] % bits[test[ok]]).astype(np.int64) + start[test[ok]]
+                at = (g[ok] % bits[left[ok]]).astype(np.int64) + start[left[ok]]
                 ok = ok[(self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
                 g = g + step
                 if not len(ok):
                     break
-            q[test[ok]] = j
-            left = np.concatenate([test[ok], left[late[left]]]) if j == 1 else test[ok]
+            left = left[ok]
+            q[left] = j
             if not len(left):
                 break
         return q[back]
@@ -151,13 +147,11 @@ def _log_probs(q1: np.ndarray, q2: np.ndarray, second: np.ndarray, words: int, d
     return np.log(out)
 
 
-def scores(docs: DataFrame, corpus: DataFrame | None = None, most_bytes: int = MOST_BYTES, singles: bool = False) -> DataFrame:
-    """(doc_id, n_words, log_prob, perplexity) of every row of ``docs`` under the model of ``corpus`` (``docs`` itself by default).
-
-    Pairs that the corpus has once are part of the model with ``singles`` only.
-    """
-    spark, n = docs.sparkSession, 4 * partitions(docs)
-    built = stored(filter_blocks(docs if corpus is None else corpus, singles))
+def scores(docs: DataFrame, corpus: DataFrame | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, n_words, log_prob, perplexity) of every row of ``docs`` under the model of ``corpus`` (``docs`` itself by default)."""
+    corpus = docs if corpus is None else corpus
+    spark, n = docs.sparkSession, buckets(corpus)
+    built = stored(filter_blocks(corpus))
     about = built.select("bucket", "words", "distinct", F.octet_length("data").alias("bytes")).orderBy("bucket").collect()  # a row a block
     words, distinct = sum(r["words"] for r in about), sum(r["distinct"] for r in about)
     shards, held = [[]], 0
@@ -168,9 +162,9 @@ def scores(docs: DataFrame, corpus: DataFrame | None = None, most_bytes: int = M
         shards[-1].append(r["bucket"])
         held += r["bytes"]
 
-    def shard(buckets):
-        low, high = (buckets[0], buckets[-1]) if buckets else (0, -1)
-        return spark.sparkContext.broadcast(Filter(n, built.select("bucket", "bits", "data").where(F.col("bucket").between(low, high)).toArrow(), singles))
+    def shard(part):
+        low, high = (part[0], part[-1]) if part else (0, -1)
+        return spark.sparkContext.broadcast(Filter(n, built.select("bucket", "bits", "data").where(F.col("bucket").between(low, high)).toArrow()))
 
     def result(s, w, q1, q2, second):
         lp = _log_probs(q1, q2, second, words, distinct)
@@ -193,8 +187,8 @@ def scores(docs: DataFrame, corpus: DataFrame | None = None, most_bytes: int = M
         return docs.select("doc_id", "text").mapInArrow(score, out)
 
     state = docs.select("doc_id", "text", F.lit(b"").alias("levels"))
-    for buckets in shards:
-        model = shard(buckets)
+    for part in shards:
+        model = shard(part)
 
         def fill(batches, model=model):
             for s in slices(batches):

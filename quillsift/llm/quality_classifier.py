@@ -7,8 +7,8 @@ a_k ~ exp(w . (tanh(V h_k) * sigmoid(U h_k))), weighs the passages of a document
 representation. Encoder log-odds are fitted on one part of the labelled sample, attention and scorer on the other.
 
 The target is 1 for ``quality`` 1 and ``toxic`` 0. At most MOST_LABELLED labelled documents, those of the least hash of
-doc_id, are fitted on the driver, so fitting costs the same at any size; scoring is one pass over all documents. ``keep``
-is score >= the KEEP_CLEAN quantile of the scores of good documents in the second part, or 1/2 if that is less.
+doc_id, and of these so many that their whole texts have MOST_BYTES, are fitted on the driver, so fitting costs the same at any
+size; scoring is one pass over all documents. ``keep`` is score >= the KEEP_CLEAN quantile of the scores of good documents in the second part, or 1/2 if that is less.
 
 Defined cases: a document without tokens (null or empty text) has no passage, score 0.0 and isn't kept; rows whose labels are
 null train nothing, a doc_id labelled twice is good if every label says so; labels of one kind only, or fewer than 8 of
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, slices, stored
 
 PASSAGE = 32
 BUCKETS = 1 << 18
@@ -31,6 +31,7 @@ PLANES = 16
 FEATURES = 7 + PLANES
 HIDDEN = 16
 MOST_LABELLED = 6000
+MOST_BYTES = 128 << 20
 STEPS = 200
 KEEP_CLEAN = 0.015
 CLIP = 4.0
@@ -83,18 +84,22 @@ class Attention:
         z = np.add.reduceat(x * a[:, None], first)
         return x, t, g, a, size, z, _sigmoid(z @ p["c"] + p["b"][0])
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradient of the log loss, weighted by ``share``, and the scores."""
+        h, t, g, a, size, z, out = self.forward(x, first)
+        d = share * (out - y)
+        dz = np.repeat(d[:, None] * self.p["c"], size, 0)
+        da = (h * dz).sum(1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, first), size))
+        dt, dg = de[:, None] * self.p["w"] * g * (1 - t * t), de[:, None] * self.p["w"] * t * g * (1 - g)
+        return {"V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ d, "b": d.sum()[None]}, out
+
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.03, decay: float = 1e-3):
         self.mean, self.sd = x.mean(0), x.std(0) + 1e-6
         share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for s in range(1, steps + 1):
-            h, t, g, a, size, z, out = self.forward(x, first)
-            d = share * (out - y)
-            dz = np.repeat(d[:, None] * self.p["c"], size, 0)
-            da = (h * dz).sum(1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, first), size))
-            dt, dg = de[:, None] * self.p["w"] * g * (1 - t * t), de[:, None] * self.p["w"] * t * g * (1 - g)
-            grad = {"V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ d, "b": d.sum()[None]}
+            grad, _ = self.gradient(x, first, y, share)
             for k in self.p:
                 gr = grad[k] + decay * self.p[k] * (k != "b")
                 m[k] = 0.9 * m[k] + 0.1 * gr
@@ -103,12 +108,20 @@ class Attention:
         return self
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> pa.Table:
-    """(text, y) of at most ``most`` labelled documents, in a fixed order."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> pa.Table:
+    """(doc_id, text, y) of at most ``most`` labelled documents of at most ``most_bytes`` in all, in a fixed order; of a repeated doc_id the least text."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     y = known.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("y"))
-    chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("k", F.xxhash64("doc_id"))
+    texts = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "k").agg(F.min("text").alias("text")))
+    size, take = 0, []
+    for r in texts.select("doc_id", F.octet_length("text").alias("n")).orderBy("k", "doc_id").collect():  # ``most`` rows
+        size += r["n"] or 0
+        if size > most_bytes:
+            break
+        take.append((r["doc_id"],))
+    ids = docs.sparkSession.createDataFrame(take, "doc_id long")
+    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def fit(table: pa.Table) -> dict | None:

@@ -2,7 +2,8 @@
 
 Words and punctuation runs, and pairs of them, are hashed with the document's language into the lower and the upper half of
 BUCKETS. Two multinomials are counted over whole texts: over every document, and over the trusted ones (``quality`` 1 and
-``toxic`` 0 in ``labels``), whose counts are scaled by language to the size of the raw corpus. A document's score is the mean
+``toxic`` 0 in ``labels``), whose counts are scaled by language, in units of 1 / UNIT, to the size of the raw corpus; all sums are of
+whole numbers, so they are the same in any order. A document's score is the mean
 over its tokens of log(p_target / p_raw) and PAIRS times the mean over its pairs, length-normalised both. Its own counts are
 taken out of both multinomials first, so a trusted document is judged like any other, and a word of no other document is
 neutral. Both are smoothed by the same prior mass.
@@ -33,6 +34,7 @@ BUCKETS = 1 << 20
 LOWEST = 0.02
 PRIOR = 3.0
 PAIRS = 0.1
+UNIT = 1 << 16
 MOST_IDS = 2_000_000
 
 
@@ -59,12 +61,12 @@ class Rule:
         marked = self._marked(docs.select("doc_id", "text", *[c for c in docs.columns if c.lower() == "lang"]))
         size = F.octet_length("text")
         sums = marked.groupBy(self.language).agg(F.sum(size).alias("raw"), F.sum(F.when(F.col(self.scale) > 0, size)).alias("good"))
-        scales = {r[0]: r["raw"] / r["good"] for r in sums.collect() if r["good"]}  # a row a language
+        scales = {r[0]: round(r["raw"] / r["good"] * UNIT) / UNIT for r in sums.collect() if r["good"]}  # a row a language
         self.scales = scales
         t = self._counted(marked, scales).toArrow()  # n rows at most
         at = t["bucket"].to_numpy()
         raw, target = np.zeros(n, np.float32), np.zeros(n, np.float32)
-        raw[at], target[at] = t["raw"].to_numpy(), t["target"].to_numpy()
+        raw[at], target[at] = t["raw"].to_numpy(), t["target"].to_numpy() / UNIT
         one = sum(scales.values()) / len(scales) if scales else 1.0
         self.prior = PRIOR * one
         self.table = docs.sparkSession.sparkContext.broadcast((raw, target))
@@ -85,19 +87,19 @@ class Rule:
         n = self.n
 
         def count(batches):
-            total, target = np.zeros(n), np.zeros(n)
+            total, target = np.zeros(n, np.int64), np.zeros(n)  # both of whole numbers
             for s in slices(batches):
                 salt, scale, _ = self._rows(s, scales)
                 k, row = _buckets(Words(s.column("text"), punct=True), salt, n)
                 total += np.bincount(k, minlength=n)
                 mine = np.flatnonzero(scale[row] > 0)
-                target += np.bincount(k[mine], scale[row[mine]], minlength=n)
+                target += np.bincount(k[mine], np.round(scale[row[mine]] * UNIT), minlength=n)
             at = np.flatnonzero(total)
             for i in range(0, len(at), 1 << 16):
                 j = at[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(total[j].astype(np.int64)), pa.array(target[j])], ["bucket", "raw", "target"])
+                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(total[j]), pa.array(target[j].astype(np.int64))], ["bucket", "raw", "target"])
 
-        counted = marked.select("text", self.language, self.scale).mapInArrow(count, "bucket int, raw long, target double")
+        counted = marked.select("text", self.language, self.scale).mapInArrow(count, "bucket int, raw long, target long")
         return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
     def _thresholds(self, marked: DataFrame, lowest: float) -> dict[str, float]:

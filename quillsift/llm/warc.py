@@ -5,9 +5,11 @@ as a stream, writes every record as a gzip member of its own, and beside the new
 identity of each record, so that any record is one range read away. Files are the unit of work: one task holds no more than
 a buffer of one, and output appears under its final name only when complete, so a task that is repeated does no harm.
 
-Defined cases: a file that is already one member a record comes out alike; an empty file gives an empty file and no record; a
-record that ends early, or whose header can't be read, is reported with status ``truncated`` or ``malformed``, is not written,
-and ends its file; records of any length and with null or empty content are whole records; repeated records are each
+Defined cases: a file that is already one member a record comes out alike, blanks of zero bytes behind members are passed over; an
+empty file gives an empty file and no record. Where a stream breaks off or can't be inflated, in a record or between two, a row of
+status ``truncated`` says so and what was whole before it is kept; nothing of it can be read beyond. A record whose header or end
+isn't that of a record gives one row of status ``malformed`` and is not written, and reading goes on at the next header. A page
+id that is no number of 64 bits is null; headers and records of any length and with null or empty content are whole records; repeated records are each
 kept. ``from_pages`` turns a table of pages into such monolithic files: null url and null html are empty, other columns are
 not read.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 
 import pyarrow as pa
@@ -27,7 +30,6 @@ from .common import delete_at_exit, shared_dir, stored
 CHUNK = 1 << 20
 LEVEL = 6
 INDEX = "file string, record long, page_id long, record_id string, uri string, offset long, length long, size long, digest string, status string"
-MOST_HEADER = 1 << 20
 
 
 def _open(path: str):
@@ -50,6 +52,19 @@ class _Final:
         self.out.write(data)
         self.size += len(data)
 
+    def back_to(self, size: int):
+        """Forgets what was written beyond ``size``."""
+        if self.size == size:
+            return
+        self.out.close()
+        old, self.part, self.size = self.part, f"{self.path}.{os.getpid()}-{os.urandom(4).hex()}.part", size
+        self.out = self.fs.open_output_stream(self.part, compression=None)
+        with self.fs.open_input_stream(old, compression=None) as f:
+            while size and (data := f.read(min(size, CHUNK))):
+                self.out.write(data)
+                size -= len(data)
+        self.fs.delete_file(old)
+
     def __exit__(self, kind, *_):
         self.out.close()
         if kind:
@@ -93,11 +108,13 @@ def inflated(stream):
     """Chunks of what a gzip file of one or more members holds."""
     z, fed = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
+        if not fed:
+            data = data.lstrip(b"\0")
         while data:
             yield z.decompress(data, 4 * CHUNK)
             fed = True
             if z.eof:
-                data = z.unused_data
+                data = z.unused_data.lstrip(b"\0")
                 z, fed = zlib.decompressobj(31), False
             else:
                 data = z.unconsumed_tail
@@ -106,32 +123,48 @@ def inflated(stream):
 
 
 class _Reader:
-    """Bytes from chunks: up to a mark, or a number of them piece by piece."""
+    """Bytes from chunks: a header, or a number of them piece by piece. ``broken`` once the stream has failed or broken off."""
 
     def __init__(self, chunks):
-        self.chunks, self.held, self.short = chunks, bytearray(), False
+        self.chunks, self.held, self.ended, self.broken = chunks, bytearray(), False, False
 
     def more(self) -> bool:
-        if self.short:
-            return False
         try:
-            self.held += next(self.chunks)
+            while not self.ended:
+                if piece := next(self.chunks):
+                    self.held += piece
+                    return True
         except StopIteration:
-            self.short = True
+            self.ended = True
         except (EOFError, zlib.error):
-            self.short = True
-        return not self.short
+            self.ended = self.broken = True
+        return False
 
     def header(self) -> bytes | None:
+        """A header with the blank line behind it; None if what follows isn't one."""
+        while len(self.held) < 5 and self.more():
+            pass
+        if not self.held.startswith(b"WARC/"):
+            return None
         looked = 0
         while (end := self.held.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
             looked = len(self.held)
-            if looked > MOST_HEADER or not self.more():
+            if not self.more():
                 return None
         head = bytes(self.held[: end + 4])
         del self.held[: end + 4]
         return head
 
+    def to_next(self):
+        """Passes over all up to the next header behind a blank line."""
+        mark, looked = b"\r\n\r\nWARC/", 0
+        while (at := self.held.find(mark, looked)) < 0:
+            del self.held[: max(0, len(self.held) - len(mark) + 1)]
+            if not self.more():
+                self.held.clear()
+                return
+        del self.held[: at + 4]
+
     def pieces(self, n: int):
         while n:
             if not self.held and not self.more():
@@ -142,41 +175,54 @@ class _Reader:
             yield piece
 
 
+def _number(x: str | None) -> int | None:
+    return int(x) if x and re.fullmatch(r"-?[0-9]{1,19}", x) and -(1 << 63) <= int(x) < 1 << 63 else None
+
+
 def normalised(path: str, to: str, level: int = LEVEL):
     """Rewrites one file as ``to`` and ``to``.idx; yields a row of INDEX for each record."""
     where, name = _open(path)
-    file = to.rpartition("/")[2]
+    file, n = to.rpartition("/")[2], 0
     with where.open_input_stream(name, compression=None) as stream, _Final(to) as out, _Final(f"{to}.idx") as index:
-        reader, n = _Reader(inflated(stream)), 0
+        reader = _Reader(inflated(stream))
         while reader.held or reader.more():
-            if not reader.held:
-                continue
-            head = reader.header()
+            head, offset, bad = reader.header(), out.size, None
             fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in (head or b"").decode("utf-8", "replace").split("\r\n")[1:] if x))
             length = fields.get("content-length", "")
-            if head is None or not head.startswith(b"WARC/") or not (length.isascii() and length.isdigit()):
-                yield (file, n, None, None, None, None, None, None, None, "truncated" if head is None and reader.short else "malformed")
-                return
-            gz, digest, got, offset, parts = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1(), 0, out.size, []
-            parts.append(gz.compress(head))
-            whole, large = int(length), int(length) > 8 * CHUNK
-            for piece in reader.pieces(whole):
-                digest.update(piece)
-                got += len(piece)
-                parts.append(gz.compress(piece))
-                if large:  # a record that is cut short leaves bytes that no index entry names
-                    out.write(b"".join(parts))
-                    parts = []
-            tail = b"".join(reader.pieces(4)) if got == whole else b""
-            if tail != b"\r\n\r\n":
-                yield (file, n, None, None, None, None, None, None, None, "truncated" if got < whole or len(tail) < 4 else "malformed")
-                return
-            parts += [gz.compress(tail), gz.flush()]
-            out.write(b"".join(parts))
-            page, rid, uri = fields.get("x-page-id"), fields.get("warc-record-id"), fields.get("warc-target-uri")
+            if head is None:
+                bad = "truncated" if reader.ended and reader.held.startswith(b"WARC/") else "malformed"
+            elif not (length.isascii() and length.isdigit()):
+                bad = "malformed"
+            else:
+                gz, digest, whole, got = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1(), int(length), 0
+                held = gz.compress(head)
+                for piece in reader.pieces(whole):
+                    digest.update(piece)
+                    got += len(piece)
+                    held += gz.compress(piece)
+                    if len(held) > CHUNK:  # taken back if the record turns out to be bad
+                        out.write(held)
+                        held = b""
+                tail = b"".join(reader.pieces(4)) if got == whole else b""
+                if tail == b"\r\n\r\n":
+                    out.write(held + gz.compress(tail) + gz.flush())
+                else:
+                    bad = "malformed" if len(tail) == 4 else "truncated"
+                    reader.held[:0] = tail
+            if bad:
+                out.back_to(offset)
+                yield (file, n, None, None, None, None, None, None, None, bad)
+                n += 1
+                if bad == "truncated":
+                    return
+                reader.to_next()
+                continue
+            rid, uri = fields.get("warc-record-id"), fields.get("warc-target-uri")
             index.write(f"{offset} {out.size - offset} {rid} {uri}\n".encode())
-            yield (file, n, int(page) if page else None, rid, uri, offset, out.size - offset, whole, digest.hexdigest(), "ok")
+            yield (file, n, _number(fields.get("x-page-id")), rid, uri, offset, out.size - offset, whole, digest.hexdigest(), "ok")
             n += 1
+        if reader.broken:
+            yield (file, n, None, None, None, None, None, None, None, "truncated")
 
 
 def normalise(files: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:

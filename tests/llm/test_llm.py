@@ -1,6 +1,7 @@
 """Each operator against brute force, and on tables that hold every odd case."""
 
 import collections
+import hashlib
 import itertools
 import os
 import re
@@ -64,15 +65,21 @@ def test_odd_tables_have_defined_results(spark):
     assert quality_rules.keep_good(d, labels).columns == d.columns
     c = quality_classifier.scores(d, labels).collect()
     assert len(c) == n and all(r["score"] == (1.0 if r["n_passages"] else 0.0) for r in c)
+    if os.path.exists(token_counts.VOCABULARY):
+        k = token_counts.counts(d).collect()
+        by = collections.defaultdict(list)
+        for r in k:
+            by[r["doc_id"]].append(r["n_tokens"])
+        assert len(k) == n and by[1] == [None] and by[2] == [0] and len(by[6]) == 2 and by[6][0] == by[6][1] > 0 and by[4] == by[5] and None in by[None]
     p = packing.documents(d).collect()
-    assert sum(r["n_tokens"] for r in p if r["doc_id"] == 4) == 60_000 and sum(r["doc_id"] is None for r in p) == 2
+    assert sum(r["n_tokens"] for r in p if r["doc_id"] == 4) == size_of([d.where("doc_id = 4").first()["text"]])[0] and sum(r["doc_id"] is None for r in p) == 2
 
 
 def test_empty_tables(spark):
     d = odd(spark).limit(0)
     labels = labels_of(spark, [])
     for r in (near_dedup.groups(d), near_dedup.one_of_each(d), substring_dedup.spans(d), substring_dedup.cut(d), lm_scoring.scores(d), mixing.copies(d), mixing.mixed(d),
-              quality_rules.scores(d, labels), quality_rules.keep_good(d, labels), quality_classifier.scores(d, labels), packing.documents(d)):
+              quality_rules.scores(d, labels), quality_rules.keep_good(d, labels), quality_classifier.scores(d, labels), packing.documents(d), token_counts.counts(d), image_copies.groups(image_copies.media(spark.createDataFrame([], "vec_id long, embedding array<float>")))):
         assert r.count() == 0
     assert packing.conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
     assert image_copies.copies(image_copies.media(spark.createDataFrame([], "vec_id long, embedding array<float>"))).count() == 0
@@ -162,19 +169,46 @@ def test_substring_dedup_against_brute_force(spark):
         assert x["text"] == "".join(c for i, c in enumerate(texts[x["doc_id"]]) if i not in want[x["doc_id"], False])
 
 
+needs_vocabulary = pytest.mark.skipif(not os.path.exists(token_counts.VOCABULARY), reason="no vocabulary file here")
+
+
+def size_of(texts):
+    return token_counts.Counter(token_counts.vocabulary(token_counts.VOCABULARY))(common.pa.array(texts, common.pa.string())).tolist()
+
+
+@needs_vocabulary
 def test_packing_keeps_limits_and_follows_the_heuristic(spark):
     r = np.random.default_rng(3)
-    rows = [(i, k, ("user", "assistant", None)[k % 3], " ".join(words(r, int(r.integers(0, 400))))) for i in range(120) for k in range(int(r.integers(1, 5)))]
-    rows.append((None, 0, "assistant", None))
+    rows = [(i, k, ("user", "assistant", None)[k % 3], " ".join(words(r, int(r.integers(0, 300))))) for i in range(120) for k in range(int(r.integers(1, 5)))]
+    rows += rows[:5] + [(None, 0, "assistant", None)] + [(None, None, "assistant", " ".join(words(r, 300)))] * 3 + [(500, k, "user", "") for k in range(3)]
     t = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    for c in ("id", "turns", "shard", "tokens", "loss", "copies"):
+        t = t.withColumn(c, common.F.lit("x"))
     got = packing.conversations(t, tokens=600, segments=5, loss=300).toPandas()
     by = got.groupby("pack_id")
     assert by["n_tokens"].sum().max() <= 600 and by["loss_tokens"].sum().max() <= 300 and by.size().max() <= 5
-    want = collections.Counter()
-    for i, _, _, x in rows:
-        want[i] += len((x or "").split())
-    have = {None if pd.isna(k) else int(k): v for k, v in got.groupby("conv_id", dropna=False)["n_tokens"].sum().items()}
-    assert have == dict(want)
+    assert all(sorted(x) == list(range(len(x))) for x in by["slot"].apply(list))
+    want, heard, convs = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for (i, k, role, _), n in zip(rows, size_of([x[3] for x in rows])):
+        want[i] += n
+        heard[i] += n * (role == "assistant")
+        convs[i].append((k, n, role == "assistant"))
+    for column, whole in (("n_tokens", want), ("loss_tokens", heard)):
+        assert {None if pd.isna(k) else int(k): v for k, v in got.groupby("conv_id", dropna=False)[column].sum().items()} == dict(whole)
+    long = [i for i in convs if i is not None and (want[i] > 600 or heard[i] > 300)]
+    assert len(long) > 20 and (got["conv_id"].isna()).sum() > 4
+    for i, part in got[got["conv_id"].notna()].groupby("conv_id"):  # token by token
+        flags = [l for _, n, l in sorted(convs[int(i)]) for _ in range(n)]
+        pieces = part.sort_values("piece")
+        assert pieces["piece"].tolist() == list(range(len(pieces))) and (len(pieces) > 1) == (int(i) in long)
+        for p in pieces.itertuples():
+            assert p.loss_tokens == sum(flags[p.start : p.start + p.n_tokens]) and (p.start == 300 * p.piece)
+    again = packing.conversations(t.repartition(5), tokens=600, segments=5, loss=300).toPandas()
+    key = got.columns.tolist()
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    many = spark.createDataFrame([(None, "a b"), (7, "c d")], "doc_id long, text string").crossJoin(spark.range(900).select())
+    shards = packing.documents(many, shard=64).selectExpr("shiftright(pack_id, 32) AS s").groupBy("s").count().collect()
+    assert len(shards) > 20 and max(x["count"] for x in shards) < 200  # neither nulls nor repeated rows fill a shard
     need, limits = r.integers(1, 9, (40, 3)), np.array([20, 30, 25])
     weight = (need / limits).sum(0)
     left, packs = list(range(40)), []
@@ -314,7 +348,7 @@ def test_long_runs_keep_apart_and_lead_together():
     flat ^= r.random(flat.shape) < 0.01
     bits = np.packbits(flat.astype(bool), axis=1).view("<u8")
     out = []
-    image_copies._led(bits, np.arange(len(bits)), np.arange(len(bits)), out)
+    image_copies._led(bits, np.arange(len(bits)), np.arange(len(bits)), np.zeros(len(bits), np.int64), out)
     pairs = [(int(a), int(b)) for i, j in out for a, b in zip(i, j)]
     group = joined(pairs)
     assert len(set(group.values())) == 5 and len(group) == 10_000 and len(pairs) < 40 * len(bits)
@@ -336,7 +370,7 @@ def test_lm_scores_against_exact_counts(spark):
     off = []
     for i, t in enumerate(texts):
         w = t.split()
-        lp = sum(np.log(lm_scoring.WEIGHT * min(1, q(two[w[k - 1], x] if two[w[k - 1], x] > 1 else 0) / q(one[w[k - 1]])) + (1 - lm_scoring.WEIGHT) * p1(x)) if k else np.log(p1(x)) for k, x in enumerate(w))
+        lp = sum(np.log(lm_scoring.WEIGHT * min(1, q(two[w[k - 1], x]) / q(one[w[k - 1]])) + (1 - lm_scoring.WEIGHT) * p1(x)) if k else np.log(p1(x)) for k, x in enumerate(w))
         assert got[i]["n_words"] == len(w)
         off.append(abs(got[i]["log_prob"] - lp) / max(1, len(w)))
     assert np.mean(off) < 0.02  # false positives of the filter apart
@@ -364,9 +398,9 @@ def test_lm_query_scores_by_all_counts(spark, tmp_path):
         off.append(abs(got[i] - lp) / len(w))
     assert np.mean(off) < 0.02
     d = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for x in lm_scoring.scores(d, most_bytes=300, singles=True).collect():
+    for x in lm_scoring.scores(d, most_bytes=300).collect():
         assert abs(got[x["doc_id"]] - x["log_prob"]) < 1e-6
-    seen, never = lm_scoring.scores(frame(spark, ["bana bano"]), corpus=frame(spark, ["bana bano"]), singles=True).collect(), lm_scoring.scores(frame(spark, ["bano bana"]), corpus=frame(spark, ["bana bano"]), singles=True).collect()
+    seen, never = lm_scoring.scores(frame(spark, ["bana bano"]), corpus=frame(spark, ["bana bano"])).collect(), lm_scoring.scores(frame(spark, ["bano bana"]), corpus=frame(spark, ["bana bano"])).collect()
     assert seen[0]["log_prob"] > never[0]["log_prob"] + 0.5
 
 
@@ -380,7 +414,7 @@ def test_mixing_against_brute_force(spark):
     want = collections.Counter()
     for s in ("a", "b", None):
         step, at = rate[s or ""]
-        for x in sorted((x for x in rows + rows[:3] if x[3] == s), key=lambda x: x[0]):
+        for x in sorted((x for x in rows + rows[:3] if x[3] == s), key=lambda x: (hashlib.md5(str(x[0]).encode()).hexdigest()[:3], x[0])):
             n = (at + step) // mixing.ONE - at // mixing.ONE
             at += step
             if n:
@@ -476,3 +510,155 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert set(seen[4]) == set(seen[3])
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert final.columns == docs.columns and sorted(map(tuple, final.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_near_dedup_meets_pairs_of_hot_groups_and_repeated_ids(spark):
+    r = np.random.default_rng(31)
+    base = words(r, 80)
+    texts = [" ".join(copies_of(r, base, 0.03)) for _ in range(400)] + [" ".join(words(r, 60)) for _ in range(200)]
+    texts += [texts[450]] * 50  # exact copies
+    d = frame(spark, texts)
+    got = {x["doc_id"]: x["group_id"] for x in near_dedup.groups(d, large=100).collect()}  # nodes over ``large`` are led by their first document
+    assert {got.get(i) for i in range(400)} == {0} and {got.get(i) for i in [450, *range(600, 650)]} == {450}
+    assert len(got) == 451
+    two = spark.createDataFrame([(1, texts[500], "en", "a", 1), (1, texts[501], "en", "a", 1), (2, texts[501], "en", "a", 1), (3, texts[500], "en", "a", 1), (4, texts[502], "en", "a", 1)], DOCS)
+    assert {x["doc_id"]: x["group_id"] for x in near_dedup.groups(two).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_near_dedup_recall_at_the_threshold(spark):
+    assert all(near_dedup.recall(near_dedup.LAMBDA, d, near_dedup.TREES) >= near_dedup.RECALL for d in range(1, near_dedup.DEPTH + 1))
+    r = np.random.default_rng(32)
+    low = r.integers(0, 1 << 32, (3000, 2, near_dedup.T), dtype=np.uint32)
+    same = r.random((3000, near_dedup.T)) < near_dedup.LAMBDA
+    low[:, 1][same] = low[:, 0][same]
+    met = np.zeros(3000, bool)  # pairs at the threshold, followed down to nodes of the greatest depth
+    for tree in range(near_dedup.TREES):
+        live = [(k, np.uint64(tree + 1)) for k in range(3000) if not met[k]]
+        for _ in range(near_dedup.DEPTH):
+            node = np.array([n for _, n in live], np.uint64)
+            (ra, ca), (rb, cb) = (near_dedup._children(node, np.array([low[k, i] for k, _ in live])) for i in (0, 1))
+            a, b = set(zip(ra.tolist(), ca.tolist())), set(zip(rb.tolist(), cb.tolist()))
+            live = [(live[i][0], np.uint64(c)) for i, c in a & b]
+            if not live:
+                break
+        met[[k for k, _ in live]] = True
+    assert met.mean() >= near_dedup.RECALL
+
+
+def test_cut_leaves_other_texts_of_a_repeated_id(spark):
+    r = np.random.default_rng(33)
+    passage = " ".join(words(r, 60))
+    kept = " ".join(f"KEEP{k}" for k in range(90))
+    rows = [(1, passage), (2, "before " + passage + " after"), (2, kept), (2, kept), (3, kept + " more")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(x) for x in substring_dedup.cut(d).collect())
+    assert got == [(1, passage), (2, kept), (2, kept), (2, "before  after"), (3, " more")]
+
+
+def test_mixing_spreads_strided_and_null_ids(spark):
+    rows = [(i * 4096, "t", "en", "a", 1) for i in range(3000)] + [(None, f"text {i}", "en", "a", 1) for i in range(3000)]
+    d = spark.createDataFrame(rows, DOCS)
+    own = mixing.F.substring(mixing.F.md5(mixing.F.coalesce(mixing.F.col("doc_id").cast("string"), mixing.F.col("text"))), 1, 3)
+    assert d.groupBy(own).count().agg({"count": "max"}).first()[0] < 20
+    assert mixing.mixed(d).count() == 6000
+    o = odd(spark)
+    n = collections.Counter((x["doc_id"], x["source"]) for x in mixing.copies(o).collect())
+    again = collections.Counter((x["doc_id"], x["source"]) for x in mixing.copies(o.repartition(7)).collect())
+    assert n == again and sum(n.values()) > 0
+    assert mixing.copies(o, weights={"b": 1.0}).select("source").distinct().collect()[0]["source"] == "b" and mixing.copies(o, weights={}).count() == 0
+
+
+def test_classifier_gradient_and_fitted_model_on_odd_rows(spark):
+    r = np.random.default_rng(34)
+    sizes = [1, 3, 2, 5, 1, 4, 2, 3]
+    x, y, first = r.normal(size=(sum(sizes), 6)), np.array([0, 1] * 4, float), np.cumsum([0, *sizes[:-1]])
+    model = quality_classifier.Attention(6, 4)
+    out = model.forward(x, first)[-1]
+    p = model.p
+    for k, (f, n) in enumerate(zip(first, sizes)):  # plain loops
+        bag = x[f : f + n]
+        e = np.array([p["w"] @ (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) for h in bag])
+        a = np.exp(e) / np.exp(e).sum()
+        assert abs(out[k] - 1 / (1 + np.exp(-((a @ bag) @ p["c"] + p["b"][0])))) < 1e-9
+    model.p["c"] = r.normal(size=6)
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    grad, _ = model.gradient(x, first, y, share)
+
+    def loss():
+        out = model.forward(x, first)[-1]
+        return -(share * (y * np.log(out) + (1 - y) * np.log(1 - out))).sum()
+
+    for name in model.p:
+        flat, g = model.p[name].reshape(-1), grad[name].reshape(-1)
+        for i in range(len(flat)):
+            old, step = flat[i], 1e-6
+            flat[i] = old + step
+            up = loss()
+            flat[i] = old - step
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / (2 * step) - g[i]) < 1e-6
+    texts = [(" ".join(words(r, 60)) + (" bad0 bad1 bad2 bad3" if k % 2 else "")) for k in range(60)]
+    rows = [(100 + k, t, "en", "a", 1) for k, t in enumerate(texts)] + [(100, texts[0], "en", "a", 1), (101, "other " + texts[1], "en", "a", 1)]
+    d = odd(spark).unionByName(spark.createDataFrame(rows, DOCS), allowMissingColumns=True)
+    labels = labels_of(spark, [(100 + k, 1 - k % 2, 0) for k in range(60)] + [(None, 1, 0), (4, None, 0), (100, 1, 0)])
+    got = quality_classifier.scores(d, labels).collect()
+    assert len(got) == d.count() and all(0 <= x["score"] <= 1 for x in got) and all(x["score"] == 0 and not x["keep"] for x in got if not x["n_passages"])
+    by = collections.defaultdict(set)
+    for x in got:
+        by[x["doc_id"]].add((x["score"], x["keep"]))
+    assert len(by[100]) == len(by[6]) == 1 and len(by[4] | by[5]) == 1
+    t = quality_classifier.sample(d, labels)
+    assert t["doc_id"].to_pylist() == list(range(100, 160)) and len(quality_classifier.sample(d, labels, most=9)) == 9 and 0 < len(quality_classifier.sample(d, labels, most_bytes=2000)) < 10
+
+
+def test_warc_reports_what_is_damaged(spark, tmp_path):
+    import gzip
+    import zlib
+
+    def listed(name, data):
+        (tmp_path / name).write_bytes(data)
+        rows = list(warc.normalised(f"file://{tmp_path}/{name}", f"file://{tmp_path}/out/{name}"))
+        held = (tmp_path / "out" / name).read_bytes()
+        for x in rows:
+            if x[-1] == "ok":
+                assert zlib.decompress(held[x[5] : x[5] + x[6]], 31).startswith(b"WARC/1.0")
+        assert sum(x[6] for x in rows if x[-1] == "ok") == len(held) == (rows and max([x[5] + x[6] for x in rows if x[-1] == "ok"], default=0) or 0)
+        return [x[2] if x[-1] == "ok" else x[-1] for x in rows]
+
+    one = [warc.record(k, f"http://x/{k}", "text " * 50) for k in range(5)]
+    members = [gzip.compress(x) for x in one]
+    assert listed("a.gz", b"".join(members)) == [0, 1, 2, 3, 4]
+    assert listed("zeros.gz", members[0] + bytes(512) + members[1] + bytes(100)) == [0, 1]
+    bad = bytearray(members[2])
+    bad[12:40] = bytes(28)
+    assert listed("member.gz", members[0] + members[1] + bytes(bad) + members[3]) == [0, 1, "truncated"]  # damaged at a boundary
+    assert listed("cut.gz", b"".join(members)[: len(b"".join(members[:3])) + 30]) == [0, 1, 2, "truncated"]
+    assert listed("header.gz", gzip.compress(one[0] + b"junk\r\n\r\n" + one[1] + one[2].replace(b"Content-Length: ", b"Content-Length: x") + one[3])) == [0, "malformed", 1, "malformed", 3]
+    assert listed("short.gz", gzip.compress(one[0] + one[1].replace(b"Content-Length: 250", b"Content-Length: 240") + one[2])) == [0, "malformed", 2]
+    assert listed("id.gz", gzip.compress(one[0].replace(b"X-Page-Id: 0", b"X-Page-Id: abc") + one[1].replace(b"X-Page-Id: 1", b"X-Page-Id: 99999999999999999999") + one[2])) == [None, None, 2]
+    long = warc.record(7, "http://x/" + "y" * 3_000_000, "z")
+    assert listed("long.gz", gzip.compress(one[0] + long + one[1])) == [0, 7, 1]
+    large = warc.record(8, "u", "".join(map(str, np.random.default_rng(1).integers(0, 1 << 62, 700_000))))
+    assert listed("large.gz", gzip.compress(one[0] + large, 1)[:-3_000_000]) == [0, "truncated"]  # nothing of the half record is left
+    assert listed("end.gz", gzip.compress(one[0] + one[1][:60])) == [0, "truncated"] and listed("plain.gz", b"no gzip") == ["truncated"]
+
+
+@needs_vocabulary
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    d = odd(spark)
+    labels_of(spark, [(4, 1, 0), (6, None, None)]).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = d
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES[:-1]):
+        assert f(spark, d.limit(0), str(tmp_path)).count() == 0
+        docs = common.stored(f(spark, docs, str(tmp_path)))
+        assert docs.columns == d.columns and [x.dataType for x in docs.schema] == [x.dataType for x in d.schema], name
+        ids = collections.Counter(x["doc_id"] for x in docs.select("doc_id").collect())
+        if k == 0:
+            assert ids[None] == 1 and ids[6] == 2 and ids[4] == ids[5] == 1 and not ids[1] and not ids[2] and not ids[3]
+        if k in (1, 2):
+            assert ids[4] == 1 and not ids[5] and ids[6] == 2 and ids[None] == 1
+    packs = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(x["piece"] == 0 for x in packs) == docs.count() and corpus_pipeline.STAGES[-1][1](spark, d.limit(0), str(tmp_path)).count() == 0
+    d.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
