@@ -87,8 +87,9 @@ def default_stopwords() -> tuple[str, ...]:
 
 
 def remove_stopwords(c: Column, words: list[str] | None = None) -> Column:
-    stop = F.array(*[F.lit(w) for w in (default_stopwords() if words is None else words)]) if words != [] else F.array().cast("array<string>")
-    return F.array_join(F.filter(tokens(c), lambda x: ~F.array_contains(stop, x)), " ")
+    stop = list(default_stopwords() if words is None else words)
+    kept = F.filter(tokens(c), lambda x: ~x.isin(*stop)) if stop else tokens(c)  # a hash lookup a token
+    return F.array_join(kept, " ")
 
 
 def clean_text(c: Column, words: list[str] | None = None) -> Column:
@@ -97,6 +98,16 @@ def clean_text(c: Column, words: list[str] | None = None) -> Column:
     return remove_extra_space(remove_punctuation(remove_stopwords(c, words)))
 
 
+def clean_text_by(c: Column, special: bool = True, accents: bool = True, stopwords: bool = True, stem: bool = False, snowball: bool = False, punctuation: bool = True, words: list[str] | None = None) -> Column:
+    """Lower case, then the steps that are chosen, in the order of ``clean_text``; stemming comes after stop words."""
+    c = lower_case(c)
+    c = remove_special_chars(c) if special else c
+    c = remove_accents(c) if accents else c
+    c = remove_stopwords(c, words) if stopwords else c
+    c = stemmed(c, snowball) if stem else c
+    return remove_extra_space(remove_punctuation(c) if punctuation else c)
+
+
 def stemmed(c: Column, snowball: bool = False) -> Column:
     stem = porter2 if snowball else porter
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import context, is_person_context, normalize_name, quoted
+from ..plans.shared import checkpointed
 
 VECTORS = 2048
 CAPITALISED = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)+"
@@ -33,7 +35,7 @@ def entities(docs: DataFrame, text: str = "text", finder: Callable | None = None
         d = docs.withColumn("_e", F.explode(occurrences(F.col(f"`{text}`"), CAPITALISED))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_e.text").alias("entity"), F.lit("PERSON").alias("label"), F.col("_e.start").alias("start"), F.col("_e.end").alias("end"))
     else:
         kind = "array<struct<start:int,end:int,label:string>>"
-        found = F.pandas_udf(lambda s: s.map(lambda t: [{"start": a, "end": b, "label": x} for a, b, x in finder([t or ""])[0]]), kind)
+        found = F.pandas_udf(lambda s: pd.Series([[{"start": a, "end": b, "label": x} for a, b, x in each] for each in finder([t or "" for t in s])], index=s.index), kind)
         d = docs.withColumn("_e", F.explode(found(F.col(f"`{text}`")))).select(*[F.col(f"`{c}`") for c in docs.columns], F.expr(f"substring(`{text}`, _e.start + 1, _e.end - _e.start)").alias("entity"), F.col("_e.label").alias("label"), F.col("_e.start").alias("start"), F.col("_e.end").alias("end"))
     return d.where(F.col("label").isin(*labels)).withColumn("entity", F.trim("entity")).where(F.length("entity") >= least)
 
@@ -106,6 +108,36 @@ def link_by_vector(mentions: DataFrame, kb: DataFrame, threshold: float = 0.7, a
     return top.groupBy("id").agg(each.alias("a")).select("id", F.col("a")[0]["other"].alias("linked"), F.col("a")[0]["similarity"].alias("confidence"), F.expr(f"transform(slice(a, 2, {alternatives}), x -> x.other)").alias("alternatives"))
 
 
+def link_all(mentions: DataFrame, kb: DataFrame, embed: Callable[[Column], Column] | None = None, text: str = "entity", canonical: str = "canonical", aliases: str = "aliases", threshold: float = 0.8, alternatives: int = 5) -> DataFrame:
+    """``mentions`` with ``linked``, ``confidence``, ``method`` and ``alternatives``: exact, normalised, then, for those that are left, by vectors.
+
+    ``embed`` makes a column of vectors from one of names. Each different text that is left is compared once, with every canonical name.
+    """
+    none = F.array().cast("array<struct<name:string,confidence:double>>")
+    d = link(mentions, link_index(kb, canonical, aliases), text).withColumn("alternatives", none)
+    if embed is None:
+        return d
+    c = F.col(f"`{text}`")
+    left = checkpointed(d.where("method = 'none'").select(c.alias("name")).where("name IS NOT NULL").distinct().select("name", F.xxhash64("name").alias("vec_id"), embed(F.col("name")).alias("embedding")))
+    known = checkpointed(kb.select(F.col(canonical).alias("known")).distinct().select("known", F.xxhash64("known").alias("vec_id"), embed(F.col("known")).alias("embedding")))
+    top = similar(left, known, least=threshold, k=alternatives + 1)
+    top = top.join(known.select(F.col("vec_id").alias("other"), "known"), "other").join(left.select(F.col("vec_id").alias("id"), "name"), "id")
+    each = top.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("known").alias("name"), F.col("similarity").alias("confidence")))).alias("a"))
+    each = each.select(F.col("name").alias("_name"), F.col("a")[0]["name"].alias("_best"), F.col("a")[0]["confidence"].alias("_sure"), F.expr("transform(slice(a, 2, size(a)), x -> struct(x.name AS name, x.confidence AS confidence))").alias("_rest"))
+    d = d.join(each, (F.col("method") == "none") & (c == F.col("_name")), "left")
+    won = F.col("_best").isNotNull()
+    found = {"linked": F.coalesce("linked", "_best"), "confidence": F.when(won, F.col("_sure")).otherwise(F.col("confidence")), "method": F.when(won, "semantic").otherwise(F.col("method")), "alternatives": F.when(won, F.col("_rest")).otherwise(F.col("alternatives"))}
+    return d.select(*[F.col(f"`{n}`") for n in mentions.columns], *[v.alias(k) for k, v in found.items()])
+
+
+def process_text(docs: DataFrame, text: str = "text", finder: Callable | None = None, kb: DataFrame | None = None, extract: bool = True, link_entities: bool = False, least: int = 2, threshold: float = 0.8, embed: Callable | None = None) -> DataFrame:
+    """A row for each person found in ``docs``, linked to ``kb`` if asked for; without ``extract`` no row, but the same columns."""
+    d = entities(docs, text, finder, ("PERSON",), least)
+    if not extract:
+        d = d.limit(0)
+    return link_all(d, kb, embed, threshold=threshold) if link_entities and kb is not None else d
+
+
 def in_context(docs: DataFrame, names: list[str], doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
     """(doc, name, start, context, person): each place where a name stands, as a substring without regard to case."""
     if any(not n.strip() for n in names):

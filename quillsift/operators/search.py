@@ -12,14 +12,18 @@ the nearest, then first, then shortest is taken.
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, edit_threshold
+from ..sources.files import write_table
 
 MOST_NAMES = 200_000
 FIELDS = ["uniqid", "n", "match", "start", "end"]
@@ -170,7 +174,9 @@ def mentions(docs: DataFrame, names: DataFrame, doc_id: str = "uniqid", text: st
     if overlap == "per_uid":
         keywords.sort(key=lambda k: (k[2], k[3]))
     source = F.col(f"`{text}`")
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc"), (clean_text(source, stopwords) if clean else source).alias("text")).where(F.length(F.trim("text")) > 0)
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc"), (clean_text(source, stopwords) if clean else source).alias("text"))
+    if not clean:  # a cleaned text that is blank matches nothing anyway; a filter on it would have it cleaned twice
+        base = base.where(F.length(F.trim("text")) > 0)
     schema = f"doc {docs.schema[doc_id].dataType.simpleString()}, uniqid string, n int, match string, start int, end int, uid_seq int, kw_seq int, distance int"
     parts, at = [], 0
     while at < len(keywords) or not parts:
@@ -185,12 +191,22 @@ def mentions(docs: DataFrame, names: DataFrame, doc_id: str = "uniqid", text: st
     return found
 
 
+_finders: dict = {}
+
+
+def _finder(keywords, edits, number: str) -> tuple[list, Finder]:
+    """The list of a broadcast and its automaton, which a worker process builds once and keeps for the tasks that follow."""
+    if number not in _finders:
+        _finders.clear()  # one list at a time
+        _finders[number] = keywords.value, Finder(keywords.value, edits)
+    return _finders[number]
+
+
 def _searcher(keywords, edits, overlap, max_results):
-    columns = ["doc", "uniqid", "n", "match", "start", "end", "uid_seq", "kw_seq", "distance"]
+    columns, number = ["doc", "uniqid", "n", "match", "start", "end", "uid_seq", "kw_seq", "distance"], uuid.uuid4().hex
 
     def search(batches):
-        listed = keywords.value
-        find = Finder(listed, edits)
+        listed, find = _finder(keywords, edits, number)
         for pdf in batches:
             rows = []
             for doc, t in zip(pdf["doc"], pdf["text"]):
@@ -204,6 +220,17 @@ def _searcher(keywords, edits, overlap, max_results):
     return search
 
 
+def search_to(docs: DataFrame, names: DataFrame, path: str, doc_id: str = "uniqid", text: str = "text", k: int = 20, columns: list[str] | None = None, fields: list[str] | None = None, **options) -> dict:
+    """Writes the wide result to ``path`` and returns rows read and written, seconds and rows a second, all counted on the way."""
+    began, read, out = time.time(), Observation(), Observation()
+    found = mentions(docs, names, doc_id, text, max_results=k, **options)
+    result = wide(docs.observe(read, F.count(F.lit(1)).alias("n")), found, doc_id, columns, k, fields)
+    write_table(result.observe(out, F.count(F.lit(1)).alias("n")), path)
+    seconds = time.time() - began
+    total = read.get["n"]
+    return {"total_rows": total, "total_results": out.get["n"], "processing_time": seconds, "rows_per_second": total / seconds if seconds > 0 else 0.0}
+
+
 def first_of(found: DataFrame, max_results: int) -> DataFrame:
     """The first occurrences of each document in the order of uid, keyword and start."""
     w = Window.partitionBy("doc").orderBy("uid_seq", "kw_seq", "start", "end")
@@ -240,10 +267,10 @@ def wide(docs: DataFrame, found: DataFrame, doc_id: str = "uniqid", columns: lis
     return d.select(*out)
 
 
-class Engine:
-    """Search in one text at a time, in process; ``create_engine`` makes one."""
+class BaseSearchEngine:
+    """Names and their places; a subclass says in ``hits`` what of them is in a text, as (keyword index, start, end, distance)."""
 
-    def __init__(self, names: list[tuple[str, str]], edits: list | None = None, overlap: str = "all"):
+    def __init__(self, names: list[tuple[str, str]], edits: list | None = None):
         places: dict[str, list[int]] = {}
         self.keywords = []
         for uid, name in names:
@@ -251,22 +278,53 @@ class Engine:
                 p = places.setdefault(uid, [len(places), 0])
                 self.keywords.append((uid, k, p[0], p[1]))
                 p[1] += 1
-        self.overlap, self.find = overlap, Finder(self.keywords, edits)
+        self.edits = edits
+
+    def threshold(self, keyword: str) -> int:
+        return edit_threshold(len(keyword), self.edits)
+
+    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
+        raise TypeError("a search engine must say what it finds: override hits(text)")
 
     def search(self, text: str, max_results: int | None = 20) -> list[dict]:
-        hits = self.find(text)
-        if self.overlap == "per_uid":
-            hits = _apart(hits, self.keywords)
+        hits = list(self.hits(text or ""))
         hits.sort(key=lambda h: (self.keywords[h[0]][2], self.keywords[h[0]][3], h[1]))
         return [{"uniqid": self.keywords[i][0], "n": 1, "match": _lower(text[s:e]), "start": s, "end": e} for i, s, e, _ in hits[:max_results]]
 
 
-def create_engine(names: list[tuple[str, str]], edits: list | None = None, strategy: str = "optimized") -> Engine:
-    """``optimized`` reports overlaps, ``basic`` resolves them within a uid; ``streaming`` is for texts that come one by one."""
-    if strategy not in ("basic", "optimized", "streaming"):
+class Engine(BaseSearchEngine):
+    """Search in one text at a time, in process; ``create_engine`` makes one."""
+
+    def __init__(self, names: list[tuple[str, str]], edits: list | None = None, overlap: str = "all"):
+        super().__init__(names, edits)
+        self.overlap, self.find = overlap, Finder(self.keywords, edits)
+
+    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
+        hits = self.find(text)
+        return _apart(hits, self.keywords) if self.overlap == "per_uid" else hits
+
+
+STRATEGIES: dict[str, Callable[..., BaseSearchEngine]] = {
+    "basic": lambda names, edits: Engine(names, edits, "per_uid"),
+    "optimized": Engine,
+    "streaming": Engine,
+}
+
+
+def create_engine(names: list[tuple[str, str]], edits: list | None = None, strategy: str | type[BaseSearchEngine] = "optimized") -> BaseSearchEngine:
+    """``optimized`` reports overlaps, ``basic`` resolves them within a uid, ``streaming`` is for texts that come one by one; or a class of one's own."""
+    if isinstance(strategy, str) and strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
-    return Engine(names, edits, "per_uid" if strategy == "basic" else "all")
+    return (STRATEGIES[strategy] if isinstance(strategy, str) else strategy)(names, edits)
 
 
 SearchMultipleKeywords = VectorizedSearchEngine = Engine
 create_optimized_search_engine = create_engine
+
+
+def search_names(docs: DataFrame, names: DataFrame, doc_id: str = "uniqid", text: str = "text", columns: list[str] | None = None, fields: list[str] | None = None, k: int = 20, **options) -> DataFrame:
+    """The wide result of ``mentions`` in one call."""
+    return wide(docs, mentions(docs, names, doc_id, text, max_results=k, **options), doc_id, columns, k, fields)
+
+
+search_names_optimized = search_to

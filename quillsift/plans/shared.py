@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 16
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one is chosen only where it is unset, as on a single machine."""
+    """The shared folder of spark.checkpoint.dir; only where that is unset and all runs in one process one is chosen here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = f"file:///tmp/quillsift-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
@@ -19,6 +22,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return base
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
@@ -33,24 +44,17 @@ def free(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame, name: str, start: int = 0) -> DataFrame:
-    """``df`` with dense row numbers in the order in which it is read; it must be read alike twice, as files are."""
+    """``df`` with dense row numbers in the order in which it is read; it is read once, by a checkpoint() of its rows."""
     own = free(df, "_at")
-    d = df.withColumn(own, F.monotonically_increasing_id())
+    d = checkpointed(df.withColumn(own, F.monotonically_increasing_id()))
     sizes = d.groupBy(F.shiftright(own, 33).alias("_part")).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))  # a row a partition
     at = F.col("_before") + F.col(own) - F.shiftleft(F.col("_part"), 33) + start
-    return d.join(F.broadcast(offsets), F.shiftright(own, 33) == F.col("_part")).select(*[F.col(f"`{c}`") for c in df.columns], at.alias(name))
-
+    return d.join(F.broadcast(offsets), F.shiftright(own, 33) == F.col("_part")).select(*[F.col(f"`{c}`") for c in df.columns], at.cast("long").alias(name))
 
-def ranked(df: DataFrame, name: str, order: str, *then: str, start: int = 1, block: int = BLOCK) -> DataFrame:
-    """``df`` with its dense rank in the order of the whole number ``order``, then of ``then``.
 
-    Blocks of ``order`` are counted and ranked by themselves, so no task sorts more than a block; one row a block is summed up.
-    """
-    own = free(df, "_block")
-    d = df.withColumn(own, F.floor(F.col(order) / block))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(own).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = d.groupBy(own).agg(F.count(F.lit(1)).alias("_n")).select(own, before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(own).orderBy(order, *then))
-    return d.withColumn("_rank", rank).join(sizes, own).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_rank") - 1 + start).cast("long").alias(name))
+def ranked(df: DataFrame, name: str, order: str, *then: str, start: int = 1) -> DataFrame:
+    """``df`` with its dense rank in the order of ``order``, then of ``then``: ranges of it are sorted by themselves and counted."""
+    by = [F.col(f"`{c}`") for c in (order, *then)]
+    return numbered(df.repartitionByRange(*by).sortWithinPartitions(*by), name, start)

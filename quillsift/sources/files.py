@@ -1,8 +1,8 @@
-"""Tables in files: CSV (plain or gzip) of strings, JSON, Parquet; split and merged corpora; text exports."""
+"""Tables in files: CSV (plain or gzip) of strings, JSON, Parquet, workbooks where pandas can read them; split and merged corpora; text exports."""
 
 from __future__ import annotations
 
-import os
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import chunk_file
 from ..plans.shared import numbered
 
-FORMATS = ("csv", "json", "parquet")
+FORMATS = ("csv", "json", "parquet", "xlsx")
 
 
 def _kind(path: str) -> str:
@@ -19,17 +19,44 @@ def _kind(path: str) -> str:
     return parts[-1] if parts[-1] in FORMATS else "csv"
 
 
-def read_table(spark: SparkSession, path: str | list[str], kind: str | None = None) -> DataFrame:
-    """CSV columns are strings, and what is missing is empty; gzip is known by its ending."""
+def _hadoop(spark: SparkSession, path: str):
+    """The file system and path of Hadoop."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def read_table(spark: SparkSession, path: str | list[str], kind: str | None = None, lines: bool = True) -> DataFrame:
+    """CSV columns are strings, and what is missing is empty; gzip is known by its ending.
+
+    ``lines`` lets cells hold line breaks, as they may; a large file known to have none is read in parts without it. A workbook, which
+    has a million rows at most, is read by the driver.
+    """
     kind = kind or _kind(path if isinstance(path, str) else path[0])
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind!r}")
+    if kind == "xlsx":
+        return _workbook(spark, path)
     if kind != "csv":
         return spark.read.format(kind).load(path)
-    d = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1, enforceSchema=False)
+    d = spark.read.csv(path, header=True, inferSchema=False, multiLine=lines, quote='"', escape='"', maxCharsPerColumn=-1, enforceSchema=False)
     return d.na.fill("")
 
 
+def _workbook(spark: SparkSession, path: str) -> DataFrame:
+    import pandas as pd
+
+    try:
+        d = pd.read_excel(path, dtype=str).fillna("")
+    except ImportError as e:
+        raise ValueError("workbooks need the package openpyxl") from e
+    return spark.createDataFrame(d) if len(d) else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in d.columns))
+
+
 def read_name_list(spark: SparkSession, path: str, uid: str = "uniqid", name: str = "search_name") -> DataFrame:
     d = read_table(spark, path)
     for c in (uid, name):
@@ -42,15 +69,15 @@ def read_drop_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("search_name")).where("search_name <> ''")
 
 
-def write_table(df: DataFrame, path: str, kind: str | None = None, append: bool = False, one_file: bool = False, compression: str | None = None, confidence: bool = True) -> None:
-    """Overwrites, or appends; ``confidence=False`` leaves out columns with that word in their name."""
+def write_table(df: DataFrame, path: str, kind: str | None = None, append: bool = False, one_file: bool = False, compression: str | None = None, confidence: bool = True, overwrite: bool = True) -> None:
+    """Overwrites, or appends; with ``overwrite=False`` it appends to what is there and begins what isn't. ``confidence=False`` leaves out columns with that word in their name."""
     d = df if confidence else df.drop(*[c for c in df.columns if "confidence" in c.lower()])
-    w = (d.coalesce(1) if one_file else d).write.mode("append" if append else "overwrite")
+    w = (d.coalesce(1) if one_file else d).write.mode("append" if append or not overwrite else "overwrite")
     if compression:
         w = w.option("compression", compression)
     kind = kind or _kind(path)
-    if kind not in FORMATS:
-        raise ValueError(f"unknown format {kind!r}")
+    if kind not in FORMATS[:3]:
+        raise ValueError(f"can't write format {kind!r}")
     (w.option("header", True).option("escape", '"') if kind == "csv" else w).format(kind).save(path)
 
 
@@ -77,9 +104,23 @@ def split_corpus(df: DataFrame, folder: str, size: int = 1000, kind: str = "csv"
     return -(-df.count() // size)
 
 
-def split_rows(df: DataFrame, folder: str, most: int = 10_000, kind: str = "csv") -> None:
-    """Writes files of at most ``most`` rows."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", most).option("header", True).format(kind).save(folder)
+def split_rows(df: DataFrame, folder: str, most: int = 10_000, stem: str = "rows") -> list[str]:
+    """Writes CSV files {stem}_part001.csv, {stem}_part002.csv, ... of ``most`` rows, the last of what is left; returns their names."""
+    spark, own = df.sparkSession, "_part"
+    d = numbered(df, own).withColumn(own, F.floor(F.col(own) / most) + 1)
+    raw = f"{folder}/.{stem}"
+    d.repartition(own).sortWithinPartitions(own).write.mode("overwrite").partitionBy(own).option("header", True).option("escape", '"').csv(raw)
+    fs, p = _hadoop(spark, raw)
+    names = []
+    for part in sorted((x.getPath() for x in fs.listStatus(p) if x.isDirectory()), key=lambda x: int(x.getName().partition("=")[2])):
+        (file,) = [x.getPath() for x in fs.listStatus(part) if x.getPath().getName().endswith(".csv")]
+        name = f"{stem}_part{int(part.getName().partition('=')[2]):03d}.csv"
+        to = _hadoop(spark, f"{folder}/{name}")[1]
+        fs.delete(to, False)
+        fs.rename(file, to)
+        names.append(name)
+    fs.delete(p, True)
+    return names
 
 
 def merge_tables(tables: list[DataFrame]) -> DataFrame:
@@ -91,16 +132,24 @@ def merge_files(spark: SparkSession, paths: list[str], to: str) -> int:
     return write_counted(merge_tables([read_table(spark, p) for p in paths]), to)
 
 
-def export_text(df: DataFrame, folder: str, text: str = "text", again: bool = False) -> bool:
-    """One text row a document; returns False, and writes nothing, where the export is there already."""
-    spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not again and p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+def export_text(df: DataFrame, folder: str, text: str = "text", again: bool = False, like: str | None = None, below: str | None = None) -> bool:
+    """One text row a document; returns False, and writes nothing, where the export is there already.
+
+    With ``like``, the path of what is exported, and ``below``, the folder that it lies in, the export goes to the same place below ``folder``.
+    """
+    if like:
+        place = like[len(below.rstrip("/")) + 1 :] if below and like.startswith(below.rstrip("/") + "/") else like.rstrip("/").rpartition("/")[2]
+        folder = f"{folder}/{re.sub(r'[.](csv|json|parquet)([.]gz)?$', '', place)}"
+    if not again and exists(df.sparkSession, folder):
         return False
     df.select(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\r\n]+", " ").alias("value")).write.mode("overwrite").text(folder)
     return True
 
 
-def choose_mode(path: str, most_mb: float = 500) -> str:
-    """'streaming' where two and a half times the file is over the limit; Spark needs neither, callers may want to know."""
-    return "streaming" if 2.5 * os.path.getsize(path) / 2**20 > most_mb else "batch"
+def choose_mode(path: str, most_mb: float = 500, spark: SparkSession | None = None) -> str:
+    """'streaming' where two and a half times the file is over the limit, in whatever file system it is; Spark needs neither, callers may want to know."""
+    fs, p = _hadoop(spark or SparkSession.active(), path)
+    return "streaming" if 2.5 * fs.getContentSummary(p).getLength() / 2**20 > most_mb else "batch"
+
+
+merge_results, split_text_corpus = merge_files, split_corpus

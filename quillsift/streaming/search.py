@@ -42,7 +42,12 @@ def clean_stream(stream: DataFrame, to: str, checkpoint: str, column: str = "Nam
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def rate(query: StreamingQuery) -> dict:
-    """Batch, rows and rows a second of the last progress report."""
-    p = query.lastProgress
-    return {} if p is None else {"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"]}
+def rate(query: StreamingQuery, total: int | None = None) -> dict:
+    """Batch, rows so far, rows a second, and, where the ``total`` number of rows is known, per cent done and seconds left."""
+    reports = query.recentProgress
+    if not reports:
+        return {}
+    rows, seconds = sum(p["numInputRows"] for p in reports), sum(p["batchDuration"] for p in reports) / 1000
+    speed = rows / seconds if seconds > 0 else 0.0
+    out = {"batch": reports[-1]["batchId"], "rows": rows, "rows_per_second": speed}
+    return out | ({"percent": 100 * rows / total, "seconds_left": max(0, total - rows) / speed if speed > 0 else 0.0} if total else {})
