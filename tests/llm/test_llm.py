@@ -282,15 +282,15 @@ def joined(pairs):
 
 def test_image_copies_against_brute_force(spark):
     r = np.random.default_rng(6)
-    e = spark.createDataFrame([(i, [float(x) for x in r.normal(size=64)]) for i in range(90)] + [(None, None), (991, [1.0]), (990, [0.0] * 64)], "vec_id long, embedding array<float>")
+    e = spark.createDataFrame([(i, [float(x) for x in r.normal(size=64)]) for i in range(60)] + [(None, None), (991, [1.0]), (990, [0.0] * 64)], "vec_id long, embedding array<float>")
     media = image_copies.media(e)
     want = brute_copies(corners_of(media.where("pixels IS NOT NULL").collect()))
     for c in ("bucket", "corners", "matches", "links", "a.b"):
         media = media.withColumn(c, common.F.lit("x"))
     got = {(x["image_a"], x["image_b"]) for x in image_copies.copies(media).collect()}
     assert len(got & want) >= 0.9 * len(want) and got <= want and not [p for p in got if p[0] // 2 != p[1] // 2]
-    own = {k: (2 * k, 2 * k + 1) in got for k in range(90)}
-    assert sum(own.values()) >= 70 and all(own[k] for k in range(0, 90, 3))  # a third resized, a third turned
+    own = {k: (2 * k, 2 * k + 1) in got for k in range(60)}
+    assert sum(own.values()) >= 45 and all(own[k] for k in range(0, 60, 3))  # a third resized, a third turned
     rows = {x["image_id"]: x for x in image_copies.groups(media).collect()}
     assert {i: x["group_id"] for i, x in rows.items()} == joined(got) and all(x["partner"] == i ^ 1 and x["links"] == 1 for i, x in rows.items())
 
@@ -305,7 +305,7 @@ IMAGES = "image_id long, width int, height int, pixels binary"
 def test_image_copies_at_other_sizes_scales_and_turns(spark):
     r = np.random.default_rng(26)
     rows, pairs = [], set()
-    for k in range(12):
+    for k in range(8):
         base = image_copies._smooth(r.normal(0, 1, (1, 240, 300)).astype(np.float32), 2.5)[0]
         base = 128 + 40 * base / base.std()
         edits = [base[60:150, 100:200], 128 + 0.25 * (base - 128), image_copies.turned(base, 0.4 + 0.45 * k), image_copies._resized(base[None], 150, 188)[0], base + r.normal(0, 8, base.shape)]
@@ -313,11 +313,11 @@ def test_image_copies_at_other_sizes_scales_and_turns(spark):
         pairs |= {(10 * k, 10 * k + i) for i in range(1, 6)}
     got = {x["image_id"]: x for x in image_copies.groups(spark.createDataFrame(rows, IMAGES)).collect()}
     by = collections.Counter(b % 10 for a, b in pairs if a in got and b in got and got[a]["group_id"] == got[b]["group_id"])
-    assert all(by[i] >= 11 for i in range(1, 6)), by
+    assert all(by[i] >= 7 for i in range(1, 6)), by
     assert all(x["group_id"] // 10 == i // 10 for i, x in got.items())
     links = {(x["image_a"], x["image_b"]): x for x in image_copies.copies(spark.createDataFrame(rows, IMAGES)).collect()}
-    small = [links[10 * k, 10 * k + 4]["scale"] for k in range(12) if (10 * k, 10 * k + 4) in links]
-    turns = [np.angle(np.exp(1j * (links[10 * k, 10 * k + 3]["turn"] - 0.4 - 0.45 * k))) for k in range(12) if (10 * k, 10 * k + 3) in links]
+    small = [links[10 * k, 10 * k + 4]["scale"] for k in range(8) if (10 * k, 10 * k + 4) in links]
+    turns = [np.angle(np.exp(1j * (links[10 * k, 10 * k + 3]["turn"] - 0.4 - 0.45 * k))) for k in range(8) if (10 * k, 10 * k + 3) in links]
     assert small and np.allclose(small, 150 / 240, atol=0.06) and turns and np.allclose(turns, 0, atol=0.06)
 
 
