@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import os
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -139,6 +140,31 @@ def test_near_dedup_verifies_pairs_among_many_of_just_less(spark):
     assert found <= true and len(found) >= 0.95 * len(true)
 
 
+def test_near_dedup_holds_few_pairs_of_a_hot_node(monkeypatch):
+    r = np.random.default_rng(33)
+
+    def node(n, keep):
+        out = np.tile(r.integers(0, 256, near_dedup.T, dtype=np.uint8), (n, 1))
+        return np.where(r.random(out.shape) < keep, out, r.integers(0, 256, out.shape, dtype=np.uint8))
+
+    tracemalloc.start()
+    rest = []
+    pairs = list(near_dedup._pairs(np.zeros(3000, np.uint64), np.arange(3000), node(3000, 0.9), 0.4, rest))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6, most  # its 4.5 million pairs took 700 MB
+    assert len(np.unique(np.concatenate([np.concatenate(p[:2]) for p in pairs]))) == 3000 and len(rest[0][1]) == 3000
+    sk = node(400, 0.8)
+    whole = near_dedup._thinned(near_dedup._bands(sk, 0.4), 400)
+    monkeypatch.setattr(near_dedup, "MOST_PAIRS", 3000)
+    assert all((a == b).all() for a, b in zip(whole, near_dedup._thinned(near_dedup._bands(sk, 0.4), 400)))
+
+
+def test_near_dedup_divides_the_sets_of_a_node(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SETS", 1 << 14)
+    test_near_dedup_verifies_pairs_among_many_of_just_less(spark)
+
+
 def test_substring_dedup_against_brute_force(spark):
     r = np.random.default_rng(2)
     shared = [words(r, n) for n in (50, 51, 80, 49)]
