@@ -165,6 +165,21 @@ def test_near_dedup_divides_the_sets_of_a_node(spark, monkeypatch):
     test_near_dedup_verifies_pairs_among_many_of_just_less(spark)
 
 
+def test_near_dedup_meets_what_a_first_document_represents(spark):
+    base = [f"all{k}" for k in range(300)]
+    texts = [base]
+    for i in range(40):  # 0.95 of the first one
+        texts.append(base[:-8] + [f"own{i}x{k}" for k in range(8)])
+    for i in range(40):  # 0.57 of one of those, 0.54 of all else
+        texts.append([f"new{i}x{k}" for k in range(82)] + texts[1 + i][82:])
+    sets = [shingles(" ".join(t)) for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= near_dedup.LAMBDA
+    assert [[j for j in range(81) if j != i and near(i, j)] for i in range(41, 81)] == [[i - 40] for i in range(41, 81)]
+    got = {x["doc_id"]: x["group_id"] for x in near_dedup.groups(frame(spark, [" ".join(t) for t in texts]), large=30).collect()}
+    assert sum(got.get(i) == 0 for i in range(41, 81)) >= 37 and all(got[i] == 0 for i in range(41))
+    assert set(got.values()) == {0}
+
+
 def test_substring_dedup_against_brute_force(spark):
     r = np.random.default_rng(2)
     shared = [words(r, n) for n in (50, 51, 80, 49)]
