@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import os
+import pathlib
 import re
 import tracemalloc
 
@@ -528,6 +529,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert [x["status"] for x in odd_ if x["file"] == "none.gz"] == [] and "truncated" in {x["status"] for x in odd_}
 
 
+def test_pipeline_drops_a_hot_group_within_memory(spark, tmp_path):
+    r = np.random.default_rng(34)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(w if x > 0.04 else f"n{i}x{k}" for k, (w, x) in enumerate(zip(base, r.random(60)))) for i in range(4000)]
+    left = corpus_pipeline.near_duplicates(spark, frame(spark, texts), str(tmp_path)).select("doc_id").collect()
+    assert [x["doc_id"] for x in left] == [0]
+    most = 0  # the highest resident size of any Python worker so far, in MB
+    for status in pathlib.Path("/proc").glob("[0-9]*/status"):
+        try:
+            if "pyspark.daemon" in (status.parent / "cmdline").read_text():
+                most = max(most, int(re.search(r"VmHWM:\s+(\d+)", status.read_text())[1]) // 1024)
+        except (OSError, TypeError):
+            continue  # it ended meanwhile
+    assert 0 < most < 700, most
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     r = np.random.default_rng(12)
     texts = [" ".join(words(r, int(r.integers(70, 160)))) for _ in range(120)]
