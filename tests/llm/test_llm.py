@@ -396,6 +396,39 @@ def test_long_runs_keep_apart_and_lead_together():
     assert len(set(group.values())) == 5 and len(group) == 10_000 and len(pairs) < 40 * len(bits)
 
 
+def test_long_runs_lose_no_match_of_what_leaders_represent():
+    r = np.random.default_rng(29)
+
+    def near(bits, n):
+        out = bits.copy()
+        out[r.permutation(image_copies.TESTS)[:n]] ^= True
+        return out
+
+    def run(represented):
+        first = r.random(image_copies.TESTS) < 0.5
+        held = [near(first, 6) for _ in range(represented)]
+        far = first ^ held[0]
+        other = held[0].copy()
+        other[np.flatnonzero(~far)[:22]] ^= True  # 22 bits from a represented one, 28 from the leader
+        return np.packbits(np.array([first, *held, other]), axis=1).view("<u8")
+
+    bits = run(12)
+    d = np.bitwise_count(bits[:, None] ^ bits[None]).sum(-1)
+    assert d[0, -1] == 28 and d[1, -1] == 22
+    out, hot, n = [], [], len(bits)
+    image_copies._led(bits, np.arange(n), np.arange(n), np.zeros(n, np.int64), out, hot=hot)
+    assert {(int(a), int(b)) for i, j in out for a, b in zip(i, j)} == {(i, j) for i, j in itertools.combinations(range(n), 2) if d[i, j] <= image_copies.FARTHEST}
+    assert not len(np.concatenate(hot))
+    bits = run(40)  # more than SMALL: the images are met again, with labels
+    n, hot = len(bits), []
+    image_copies._led(bits, np.arange(n), np.arange(n), np.zeros(n, np.int64), [], hot=hot)
+    assert set(np.concatenate(hot).tolist()) == set(range(1, n))
+    label, out = np.append(np.zeros(n - 1, np.int64), 7), []
+    image_copies._across(bits, label, np.arange(n), out)
+    d = np.bitwise_count(bits ^ bits[-1]).sum(1)
+    assert {(int(a), int(b)) for i, j in out for a, b in zip(i, j)} == {(i, n - 1) for i in range(n - 1) if d[i] <= image_copies.FARTHEST}
+
+
 def test_lm_scores_against_exact_counts(spark):
     r = np.random.default_rng(8)
     texts = [" ".join(WORDS[min(int(x), 99)] for x in r.exponential(12, int(r.integers(0, 80)))) for _ in range(60)]
