@@ -10,6 +10,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -161,6 +162,15 @@ def test_near_dedup_holds_few_pairs_of_a_hot_node(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, near_dedup._thinned(near_dedup._bands(sk, 0.4), 400)))
 
 
+def test_workers_get_batches_of_few_bytes(spark):
+    docs = spark.range(1500).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 3000) AS text").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    seen = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["bytes"]) for b in batches)
+    each = [x["bytes"] for x in common.stored(docs.mapInArrow(seen, "bytes long")).collect()]
+    assert sum(each) > 30e6 and max(each) < common.BATCH_BYTES + 100_000  # all of them came at once
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_near_dedup_divides_the_sets_of_a_node(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SETS", 1 << 14)
     test_near_dedup_verifies_pairs_among_many_of_just_less(spark)
