@@ -406,6 +406,32 @@ def test_long_runs_keep_apart_and_lead_together():
     assert len(set(group.values())) == 5 and len(group) == 10_000 and len(pairs) < 40 * len(bits)
 
 
+def test_long_runs_of_unlike_corners_take_few_steps(monkeypatch):
+    r, steps, count = np.random.default_rng(21), [], np.bitwise_count
+    base = r.integers(0, 2, image_copies.TESTS)
+    flips = r.random((2000, image_copies.TESTS)) < 0.07  # of one another by 25 bits on average, as chance matches are
+    flips[1500:1600] = flips[:100] ^ (r.random((100, image_copies.TESTS)) < 0.01)  # and copies of some
+    bits = np.packbits(base ^ flips, axis=1).view(np.uint64)
+    ids, rows = np.arange(2000) // 2, np.arange(2000)
+    d = count(bits[:, None] ^ bits[None]).sum(-1)
+    leads, want = np.ones(2000, bool), set()
+    for i in range(2000):  # leader by leader, and what few represented ones match
+        if leads[i]:
+            there = np.flatnonzero(leads | (rows == i))
+            there = there[there > i]
+            held = there[d[i, there] <= image_copies.TIGHT]
+            ring = there[d[i, there] <= image_copies.FARTHEST + image_copies.TIGHT]
+            assert len(held) <= image_copies.SMALL
+            want |= {(x, y) for x in [i, *held.tolist()] for y in (there if x == i else ring).tolist() if d[x, y] <= image_copies.FARTHEST and ids[x] != ids[y]}
+            leads[held] = False
+    monkeypatch.setattr(np, "bitwise_count", lambda x: steps.append(1) or count(x))
+    out, hot = [], []
+    image_copies._led(bits, ids, rows, np.zeros(2000, np.int64), out, hot=hot)
+    got = {(min(p), max(p)) for a, b in out for p in zip(a.tolist(), b.tolist())}
+    assert got == {(min(p), max(p)) for p in want} and len(got) > 10_000 and not np.concatenate(hot).size
+    assert len(steps) < 400, len(steps)  # a step or more for every leader before
+
+
 def test_long_runs_lose_no_match_of_what_leaders_represent():
     r = np.random.default_rng(29)
 
