@@ -581,9 +581,8 @@ def csv_append_and_read(spark, d):
 @query("SELECT format('rows_part{:03d}.csv', p // 300 + 1) AS file, count(*) AS n, min(p_partkey) AS lo, max(p_partkey) AS hi FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS p FROM part) GROUP BY 1")
 def split_part_files(spark, d):
     base = f"{own_folder(spark)}/parts"
-    names = files.split_rows(_read(spark, d, "part").select("p_partkey", "p_name").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey"), base, 300)
-    each = [files.read_table(spark, f"{base}/{n}").select(F.lit(n).alias("file"), F.col("p_partkey").cast("long").alias("k")) for n in names]
-    return files.merge_tables(each).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    files.split_rows(_read(spark, d, "part").select("p_partkey", "p_name").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey"), base, 300)
+    return files.read_parts(spark, base).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("p_partkey").cast("long")).alias("lo"), F.max(F.col("p_partkey").cast("long")).alias("hi"))
 
 
 @query("SELECT line, count(*) AS n FROM (SELECT regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g') AS line FROM documents) GROUP BY line")

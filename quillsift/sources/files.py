@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_file
-from ..plans.shared import numbered
+from ..plans.shared import free, numbered
 
 FORMATS = ("csv", "json", "parquet", "xlsx")
 
@@ -106,21 +106,32 @@ def split_corpus(df: DataFrame, folder: str, size: int = 1000, kind: str = "csv"
 
 def split_rows(df: DataFrame, folder: str, most: int = 10_000, stem: str = "rows") -> list[str]:
     """Writes CSV files {stem}_part001.csv, {stem}_part002.csv, ... of ``most`` rows, the last of what is left; returns their names."""
-    spark, own = df.sparkSession, "_part"
-    d = numbered(df, own).withColumn(own, F.floor(F.col(own) / most) + 1)
+    spark, own, at = df.sparkSession, free(df, "_part"), free(df, "_nth")
+    d = numbered(df, at).withColumn(own, F.floor(F.col(at) / most) + 1)
     raw = f"{folder}/.{stem}"
-    d.repartition(own).sortWithinPartitions(own).write.mode("overwrite").partitionBy(own).option("header", True).option("escape", '"').csv(raw)
+    d.repartition(own).sortWithinPartitions(own, at).drop(at).write.mode("overwrite").partitionBy(own).option("header", True).option("escape", '"').csv(raw)
     fs, p = _hadoop(spark, raw)
-    names = []
-    for part in sorted((x.getPath() for x in fs.listStatus(p) if x.isDirectory()), key=lambda x: int(x.getName().partition("=")[2])):
-        (file,) = [x.getPath() for x in fs.listStatus(part) if x.getPath().getName().endswith(".csv")]
-        name = f"{stem}_part{int(part.getName().partition('=')[2]):03d}.csv"
-        to = _hadoop(spark, f"{folder}/{name}")[1]
-        fs.delete(to, False)
-        fs.rename(file, to)
-        names.append(name)
+    have = {x.getPath().getName() for x in fs.listStatus(p.getParent())}
+    parts = {}
+    for file in (x.getPath() for x in fs.globStatus(_hadoop(spark, f"{raw}/{own}=*/*.csv")[1])):  # one listing for all files
+        k = int(str(file).rsplit("/", 2)[1].partition("=")[2])
+        if k in parts:
+            raise RuntimeError(f"part {k} of {stem} lies in two files")
+        parts[k] = file
+    names = {k: f"{stem}_part{k:03d}.csv" for k in sorted(parts)}
+    for k, name in names.items():
+        to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if name in have:
+            fs.delete(to, False)
+        if not fs.rename(parts[k], to):
+            raise OSError(f"can't move {parts[k]} to {to}")
     fs.delete(p, True)
-    return names
+    return list(names.values())
+
+
+def read_parts(spark: SparkSession, folder: str, file: str = "file") -> DataFrame:
+    """All tables of a folder of CSV files with the same columns, read at once, and in ``file`` the name of the file that a row is from."""
+    return read_table(spark, folder, "csv").withColumn(file, F.substring_index(F.input_file_name(), "/", -1))
 
 
 def merge_tables(tables: list[DataFrame]) -> DataFrame:

@@ -140,6 +140,21 @@ def test_files_round_trip(spark, tmp_path):
     assert files.export_text(d, f"{tmp_path}/x") and not files.export_text(d, f"{tmp_path}/x")
 
 
+def test_parts_keep_the_order_and_are_read_in_one_scan(spark, tmp_path):
+    from quillsift.plans import catalogue
+
+    spark.range(0, 1000, 1, 7).selectExpr("id AS p_partkey", "concat('a ', id % 9) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    d = spark.read.parquet(f"{tmp_path}/part.parquet")
+    for _ in range(2):  # the second time files are replaced
+        names = files.split_rows(d.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey"), f"{tmp_path}/s", 300)
+    assert names == [f"rows_part{k:03d}.csv" for k in (1, 2, 3, 4)] and names == sorted(p.name for p in (tmp_path / "s").iterdir() if p.name.endswith(".csv"))
+    for k, n in enumerate(names):
+        assert [int(line.split(",")[0]) for line in (tmp_path / "s" / n).read_text().splitlines()[1:]] == list(range(300 * k, min(1000, 300 * k + 300)))
+    got = catalogue.split_part_files(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1  # not a plan for every file
+    assert sorted(map(tuple, got.collect())) == [(n, min(300, 1000 - 300 * k), 300 * k, min(999, 300 * k + 299)) for k, n in enumerate(names)]
+
+
 def test_configuration_and_commands(spark, tmp_path):
     c = Config()
     c.search.clean = False
