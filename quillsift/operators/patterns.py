@@ -73,23 +73,30 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: list | None) -> DataFra
 def dedup_fuzzy(patterns: DataFrame, order: str, edits: list | None, uid: str = "uniqid", name: str = "search_name") -> DataFrame:
     """Rows in ``order`` strike out later ones near them, and themselves if a later one has another ``uid``; struck rows strike no more.
 
-    ``order`` is a whole number. Each round settles the rows whose earlier neighbours are settled, and is cut by checkpoint().
+    ``order`` is a whole number. Equal names are near each other, so of a name only the first row can go unstruck: names strike each other
+    in the order of their first rows, and of the other rows only the last one, and the last of another uid than that, are kept, which
+    say whether a later one has another uid. Pairs are thus of different names, however often a name occurs. Each round settles the
+    names whose earlier neighbours are settled, and is cut by checkpoint().
     """
     d = checkpointed(ranked(patterns, "_i", order))
-    rows = d.select(F.col("_i").alias("id"), F.col(name).alias("name"))
-    near = near_pairs(rows, rows, edits).where("i < j").select("i", "j")
-    ids = d.select("_i", F.col(uid).alias("_u"))
-    edges = near.join(ids.select(F.col("_i").alias("i"), F.col("_u").alias("ui")), "i").join(ids.select(F.col("_i").alias("j"), F.col("_u").alias("uj")), "j")
-    edges = checkpointed(edges.select("i", "j", (~F.col("ui").eqNullSafe(F.col("uj"))).alias("other")))
-    nodes = edges.select(F.explode(F.array("i", "j")).alias("id")).distinct()
-    state = checkpointed(nodes.join(edges.select(F.col("j").alias("id")).distinct().withColumn("s", F.lit("open")), "id", "left").select("id", F.coalesce("s", F.lit("active")).alias("s")))
+    rows = d.select(F.col("_i").alias("i"), F.col(name).alias("name"), F.struct(F.col(uid).alias("u")).alias("u")).where("name IS NOT NULL")  # in a struct a null uid is one, too
+    last = rows.groupBy("name", "u").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    ends = last.groupBy("name").agg(F.min_by("u", "lo").alias("u"), F.min("lo").alias("id"), F.max("hi").alias("hi1"), F.max_by("u", "hi").alias("u1"))
+    other = last.join(ends.select("name", "u1"), "name").where("NOT u <=> u1").groupBy("name").agg(F.max("hi").alias("hi2"))
+    names = checkpointed(ends.join(other, "name", "left").select("id", "name", "u", "hi1", "u1", "hi2"))
+    near = near_pairs(names.select("id", "name"), names.select("id", "name"), edits)
+    later = F.when(~F.col("u").eqNullSafe(F.col("u1")), F.col("hi1") > F.col("i")).otherwise(F.coalesce(F.col("hi2") > F.col("i"), F.lit(False)))
+    met = near.join(names.select(F.col("id").alias("i"), "u"), "i").join(names.select(F.col("id").alias("j"), "u1", "hi1", "hi2"), "j")
+    met = checkpointed(met.select("i", "j", later.alias("other")))
+    edges = met.where("i < j").select("i", "j")
+    state = checkpointed(names.select("id").join(edges.select(F.col("j").alias("id")).distinct().withColumn("s", F.lit("open")), "id", "left").select("id", F.coalesce("s", F.lit("active")).alias("s")))
     while not state.where("s = 'open'").isEmpty():
         into = edges.join(state.select(F.col("id").alias("i"), F.col("s").alias("si")), "i").groupBy(F.col("j").alias("id"))
         now = into.agg(F.when(F.bool_or(F.col("si") == "active"), "struck").when(F.bool_and(F.col("si") == "struck"), "active").otherwise("open").alias("new"))
         state = checkpointed(state.join(now, "id", "left").select("id", F.when(F.col("s") == "open", F.col("new")).otherwise(F.col("s")).alias("s")))
-    hit = edges.join(state.where("s = 'active'").select(F.col("id").alias("i")), "i")
-    gone = hit.select(F.col("j").alias("_i")).union(hit.where("other").select(F.col("i").alias("_i"))).distinct()
-    return d.join(gone, "_i", "left_anti").drop("_i")
+    shared = met.where("other").select(F.col("i").alias("id")).distinct()
+    kept = state.where("s = 'active'").select("id").join(shared, "id", "left_anti").select(F.col("id").alias("_i"))
+    return d.join(kept.withColumn("_kept", F.lit(True)), "_i", "left").where(F.col("_kept") | F.col(name).isNull()).drop("_i", "_kept")
 
 
 def preprocess(names: DataFrame, patterns: list[str] | None = None, edits: list | None = None, drop: DataFrame | None = None, order: str = "uniqid", uid: str = "uniqid") -> DataFrame:

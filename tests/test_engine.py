@@ -97,6 +97,27 @@ def test_fuzzy_dedup_against_the_nested_loop(spark, edits):
     assert pairs == {(i, j) for (i, _, a), (j, _, b) in itertools.product(rows, rows) if _lev(a, b) <= T.edit_threshold(len(a), edits)}
 
 
+def test_fuzzy_dedup_compares_names_not_rows(spark, monkeypatch):
+    r, edits, seen = random.Random(7), [(3, 1), (5, 2)], []
+    bag = ["".join(r.choice("abcd") for _ in range(r.randint(2, 7))) for _ in range(40)] + [None]
+    names = [r.choice(bag[max(0, i // 20 - 3) : i // 14 + 1]) for i in range(600)]
+    rows = [(i, r.choice("uv") if kind % 3 == 0 else None if kind % 3 == 1 else "w", a) for i, a in enumerate(names) for kind in [len(a or "") + ord((a or "b")[-1])]]
+    struck, want = set(), set()
+    for i, u, a in rows:
+        if a is None:
+            want.add(i)
+        elif i not in struck:
+            near = [(j, v) for j, v, b in rows[i + 1 :] if b is not None and _lev(a, b) <= T.edit_threshold(len(a), edits)]
+            struck |= {j for j, _ in near}
+            if all(v == u for _, v in near):
+                want.add(i)
+    real = patterns.near_pairs
+    monkeypatch.setattr(patterns, "near_pairs", lambda a, b, e: seen.append(a.count()) or real(a, b, e))
+    d = spark.createDataFrame(rows, "o long, uniqid string, search_name string")
+    assert {x.o for x in patterns.dedup_fuzzy(d, "o", edits).collect()} == want and len(want) > 1
+    assert seen == [len({a for *_, a in rows if a is not None})]
+
+
 def test_expansion_and_drop_list(spark):
     d = spark.createDataFrame([(1, "Ann", "Lee", "Dr;Mr", "")], "uniqid int, FirstName string, LastName string, prefixes string, nick_names string")
     e = patterns.expand(d)
