@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import context, is_person_context, normalize_name, quoted
 from ..plans.shared import checkpointed
 
-VECTORS = 2048
+#: Rows of a tile of left and of right vectors, numbers that the left vectors of a task have together, and pairs that are computed at once.
+ROWS, TILE, VALUES, MANY = 1024, 2048, 1 << 22, 1 << 16
+NONE = np.iinfo(np.int64).max
 CAPITALISED = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)+"
 
 
@@ -58,43 +60,113 @@ def link(mentions: DataFrame, index: DataFrame, text: str = "entity") -> DataFra
     return d.select(*[F.col(f"m.`{n}`") for n in mentions.columns], F.coalesce(exact, near).alias("linked"), sure.alias("confidence"), method.alias("method"))
 
 
-def _blocked(df: DataFrame, vec_id: str, vector: str, n: int, tag: str) -> DataFrame:
-    def gather(table: pa.Table) -> pa.Table:
-        v = np.array(table["v"].to_pylist(), np.float64)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        return pa.table({"ids": pa.array([table["id"].to_numpy().tobytes()], pa.binary()), "vecs": pa.array([v.tobytes()], pa.binary())})
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The vectors of a column, as rows of length 1."""
+    sizes = column.value_lengths().to_numpy()
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in length")
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
-    d = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where(f"id IS NOT NULL AND size(v) > 0")
-    d = d.withColumn("b", F.expr(f"pmod(xxhash64(id), {n})")).groupBy("b").applyInArrow(gather, "ids binary, vecs binary")
-    return d.select(F.col("ids").alias(f"{tag}_ids"), F.col("vecs").alias(f"{tag}_vecs"))
+
+class _Nearest:
+    """A group of left vectors that meets tiles of right ones, whose ids ascend: single precision rules out most pairs, the others are computed in double.
+
+    With ``k`` it holds the best so far of each left vector, and what can't surpass the last of them is ruled out.
+    """
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, same: bool, least: float, k: int | None):
+        self.ids, self.v, self.v32, self.same, self.least, self.k = ids, v, v.astype(np.float32), same, least, k
+        self.slack = 1e-6 + (v.shape[1] + 8) * 2.0**-23  # rounding to six places, and what single precision may be off by
+        if k is not None:
+            self.s, self.other = np.full((len(ids), k), float(least)), np.full((len(ids), k), NONE)
+
+    def meet(self, ids: np.ndarray, v: np.ndarray):
+        v32 = v.astype(np.float32).T
+        for at in range(0, len(self.ids), ROWS):
+            to = min(at + ROWS, len(self.ids))
+            cut = np.full(to - at, self.least) if self.k is None else self.s[at:to, -1]
+            p, q = np.divmod(np.flatnonzero(self.v32[at:to] @ v32 >= (cut - self.slack).astype(np.float32)[:, None]), len(ids))
+            if len(p) <= (to - at) * len(ids) // 32:
+                s = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", self.v[at + p[i : i + MANY]], v[q[i : i + MANY]]) for i in range(0, len(p), MANY))]).round(6)
+            else:  # so many that the whole product is less work
+                every = np.round(self.v[at:to] @ v.T, 6)
+                if self.same:
+                    every[self.ids[at:to, None] == ids] = -2
+                ok = every >= cut[:, None]
+                if self.k is not None and self.k < len(ids):
+                    ok &= every >= -np.partition(-every, self.k - 1, axis=1)[:, self.k - 1 : self.k]  # ties stay
+                p, q = np.nonzero(ok)
+                s = every[p, q]
+            ok = (s >= cut[p]) & ((self.ids[at + p] != ids[q]) if self.same else True)
+            if self.k is not None:
+                ok &= (s > cut[p]) | (ids[q] < self.other[at + p, -1])
+            p, q, s = at + p[ok], ids[q[ok]], s[ok]
+            if self.k is not None:
+                self._take(p, q, s)
+            else:
+                for i in range(0, len(p), MANY):
+                    yield _pairs(self.ids[p[i : i + MANY]], q[i : i + MANY], s[i : i + MANY])
+
+    def _take(self, p: np.ndarray, q: np.ndarray, s: np.ndarray) -> None:
+        if not len(p):
+            return
+        rows = np.unique(p)
+        every, other, sim = np.concatenate([np.repeat(rows, self.k), p]), np.concatenate([self.other[rows].ravel(), q]), np.concatenate([self.s[rows].ravel(), s])
+        order = np.lexsort((other, -sim, every))
+        every, other, sim = every[order], other[order], sim[order]
+        nth = np.arange(len(every)) - np.searchsorted(every, every)
+        best = nth < self.k
+        self.other[every[best], nth[best]], self.s[every[best], nth[best]] = other[best], sim[best]
+
+    def rest(self):
+        for at in range(0, len(self.ids) if self.k is not None else 0, ROWS):
+            other = self.other[at : at + ROWS]
+            p, q = np.nonzero(other != NONE)
+            yield _pairs(self.ids[at + p], other[p, q], self.s[at + p, q])
+
+
+def _pairs(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(s)], ["id", "other", "similarity"])
 
 
 def similar(left: DataFrame, right: DataFrame | None = None, vec_id: str = "vec_id", vector: str = "embedding", least: float = -1.0, k: int | None = None) -> DataFrame:
     """(id, other, similarity): cosines of at least ``least`` of every pair of a left and a right vector, or the ``k`` largest of each id.
 
-    Vectors lie in blocks of about VECTORS, and a pair of blocks is one matrix product. Without ``right`` a vector isn't paired with itself.
+    Every pair is compared. A task holds a group of left vectors, of VALUES numbers, and a share of the right ones streams by, so its
+    memory doesn't grow with the tables. Without ``right`` a vector isn't paired with itself.
     Vectors that are null or empty are left out; all must be of one length.
     """
     same = right is None
     right = left if same else right
-    blocks = lambda d: max(1, -(-d.count() // VECTORS))
-    a, b = _blocked(left, vec_id, vector, blocks(left), "a"), _blocked(right, vec_id, vector, blocks(right), "b")
+    a, b = (d.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND size(v) > 0") for d in (left, right))
+    if {a.schema["v"].dataType.simpleString(), b.schema["v"].dataType.simpleString()} != {"array<float>"}:
+        a, b = (d.withColumn("v", F.col("v").cast("array<double>")) for d in (a, b))
+    n, length = a.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    m = n if same else b.count()
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(-(-n // ROWS), cores * -(-n // (cores * max(ROWS, VALUES // length)))))  # every core has as many
+    shares = max(1, min(-(-m // TILE), cores // groups))  # few, as each finds the best of its own
+    a = a.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select(F.expr(f"CAST(pmod(xxhash64(id), {groups}) * {shares} + h AS INT)").alias("cell"), F.lit(False).alias("right"), "id", "v")
+    b = b.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(F.expr(f"CAST(g * {shares} + pmod(xxhash64(id), {shares}) AS INT)").alias("cell"), F.lit(True).alias("right"), "id", "v")
 
     def product(batches):
+        group, found = [], None
         for t in batches:
-            for i, x, j, y in zip(*(t.column(c).to_pylist() for c in ("a_ids", "a_vecs", "b_ids", "b_vecs"))):
-                i, j = np.frombuffer(i, np.int64), np.frombuffer(j, np.int64)
-                s = np.round(np.frombuffer(x, np.float64).reshape(len(i), -1) @ np.frombuffer(y, np.float64).reshape(len(j), -1).T, 6)
-                ok = s >= least
-                if same:
-                    ok &= i[:, None] != j
-                if k is not None and k < len(j):
-                    cut = -np.partition(-np.where(ok, s, -2), k - 1, axis=1)[:, k - 1 : k]
-                    ok &= s >= cut  # ties stay, the last step settles them
-                p, q = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(i[p]), pa.array(j[q]), pa.array(s[p, q])], ["id", "other", "similarity"])
-
-    d = a.crossJoin(b).mapInArrow(product, "id long, other long, similarity double")
+            if not t.num_rows:
+                continue
+            ids, v, at = t.column("id").to_numpy(), _vectors(t.column("v")), t.num_rows - t.column("right").true_count
+            if at:
+                group.append((ids[:at], v[:at]))
+            if group and at < len(ids):
+                found = found or _Nearest(*map(np.concatenate, zip(*group)), same, least, k)
+                for i in range(at, len(ids), TILE):
+                    yield from found.meet(ids[i : i + TILE], v[i : i + TILE])
+        if found:
+            yield from found.rest()
+
+    cells = a.union(b).repartitionById(groups * shares, "cell").sortWithinPartitions("right", "id").select("right", "id", "v")
+    d = cells.mapInArrow(product, "id long, other long, similarity double")
     if k is None:
         return d
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")

@@ -140,6 +140,30 @@ def test_linking_context_and_vectors(spark):
     assert {(x.id, x.other): x.similarity for x in linking.similar(v, least=0.5).collect()} == {p: 0.707107 for p in ((1, 2), (2, 1), (2, 3), (3, 2))}
 
 
+def test_nearest_vectors_hold_only_the_best(spark, monkeypatch):
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    v = g.normal(size=(700, 8)).astype(np.float32)
+    v[100:200], v[300:400], v[650:] = v[:100], v[:100], v[7]  # ties, of which the least ids count
+    v[50] = 0
+    u = v.astype(np.float64)
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    s = np.round(u @ u.T, 6)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    for rows, tile, many in ((64, 32, 50), (1024, 2048, 1 << 16)):
+        for name, n in (("ROWS", rows), ("TILE", tile), ("MANY", many), ("VALUES", rows * 16)):
+            monkeypatch.setattr(linking, name, n)
+        near = linking._Nearest(np.arange(700), u, True, -1.0, 5)
+        assert near.s.shape == (700, 5)
+        best = lambda i, keep, k: sorted((-s[i, j], j) for j in keep if j != i)[:k]
+        got = {(x.id, x["rank"]): (-x.similarity, x.other) for x in linking.similar(d, k=5).collect()}
+        assert got == {(i, r + 1): p for i in range(700) for r, p in enumerate(best(i, range(700), 5))}
+        two = linking.similar(d.where("vec_id % 10 = 0"), d.where("vec_id % 10 <> 0"), least=0.5, k=6).collect()
+        assert sorted((x.id, x["rank"], -x.similarity, x.other) for x in two) == [(i, r + 1, *p) for i in range(0, 700, 10) for r, p in enumerate(best(i, [j for j in range(700) if j % 10 and s[i, j] >= 0.5], 6))]
+        assert {(x.id, x.other) for x in linking.similar(d, least=0.9).collect()} == {(i, j) for i, j in zip(*np.nonzero(s >= 0.9)) if i != j}
+
+
 def test_parsers_and_rules(spark):
     d = spark.createDataFrame([("Ravi Kumar",), ("John Smith",), (None,)], "name string")
     p = {x.name: x for x in parsers.parse_frame(d, "name").collect()}
