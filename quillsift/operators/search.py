@@ -18,15 +18,18 @@ from collections.abc import Callable
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, edit_threshold
+from ..plans.shared import text_slices
 from ..sources.files import write_table
 
 MOST_NAMES = 200_000
+MOST_ROWS = 8192  # found, before they leave the worker; a text comes with all of its own
 FIELDS = ["uniqid", "n", "match", "start", "end"]
+FOUND = ["doc", *FIELDS, "uid_seq", "kw_seq", "distance"]
 
 
 def keyword_list(names: DataFrame, uid: str = "uniqid", name: str = "search_name", order: Column | str | None = None) -> list[tuple[str, str, int, int]]:
@@ -183,7 +186,7 @@ def mentions(docs: DataFrame, names: DataFrame, doc_id: str = "uniqid", text: st
         to = min(len(keywords), at + most_names)
         while overlap == "per_uid" and to < len(keywords) and keywords[to][2] == keywords[to - 1][2]:
             to += 1
-        parts.append(base.mapInPandas(_searcher(docs.sparkSession.sparkContext.broadcast(keywords[at:to]), edits, overlap, max_results), schema))
+        parts.append(base.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(keywords[at:to]), edits, overlap, max_results), schema))
         at = max(to, 1)
     found = reduce(DataFrame.unionByName, parts)
     if max_results is not None and len(parts) > 1:
@@ -203,23 +206,35 @@ def _finder(keywords, edits, number: str) -> tuple[list, Finder]:
 
 
 def _searcher(keywords, edits, overlap, max_results):
-    columns, number = ["doc", "uniqid", "n", "match", "start", "end", "uid_seq", "kw_seq", "distance"], uuid.uuid4().hex
+    number = uuid.uuid4().hex
 
     def search(batches):
         listed, find = _finder(keywords, edits, number)
-        for pdf in batches:
+        for batch in batches:
+            docs, texts = batch.column("doc"), batch.column("text")
             rows = []
-            for doc, t in zip(pdf["doc"], pdf["text"]):
-                hits = find(t)
-                if overlap == "per_uid":
-                    hits = _apart(hits, listed)
-                hits = sorted((listed[i][2], listed[i][3], s, e, d, listed[i][0]) for i, s, e, d in hits)
-                rows += [(doc, u, 1, _lower(t[s:e]), s, e, us, ks, d) for us, ks, s, e, d, u in hits[:max_results]]
-            yield pd.DataFrame(rows, columns=columns)
+            for at, to in text_slices(texts):
+                for i, t in enumerate(texts[at:to].to_pylist(), at):
+                    hits = find(t)
+                    if overlap == "per_uid":
+                        hits = _apart(hits, listed)
+                    hits = sorted((listed[k][2], listed[k][3], s, e, d, listed[k][0]) for k, s, e, d in hits)
+                    rows += [(i, u, 1, _lower(t[s:e]), s, e, us, ks, d) for us, ks, s, e, d, u in hits[:max_results]]
+                    if len(rows) >= MOST_ROWS:
+                        yield _found(docs, rows)
+                        rows = []
+            if rows:
+                yield _found(docs, rows)
 
     return search
 
 
+def _found(docs: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    places, *rest = zip(*rows)
+    kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 5]
+    return pa.RecordBatch.from_arrays([docs.take(pa.array(places, pa.int64())), *(pa.array(x, k) for x, k in zip(rest, kinds))], FOUND)
+
+
 def search_to(docs: DataFrame, names: DataFrame, path: str, doc_id: str = "uniqid", text: str = "text", k: int = 20, columns: list[str] | None = None, fields: list[str] | None = None, **options) -> dict:
     """Writes the wide result to ``path`` and returns rows read and written, seconds and rows a second, all counted on the way."""
     began, read, out = time.time(), Observation(), Observation()

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +61,13 @@ def ranked(df: DataFrame, name: str, order: str, *then: str, start: int = 1) ->
     """``df`` with its dense rank in the order of ``order``, then of ``then``: ranges of it are sorted by themselves and counted."""
     by = [F.col(f"`{c}`") for c in (order, *then)]
     return numbered(df.repartitionByRange(*by).sortWithinPartitions(*by), name, start)
+
+
+def text_slices(texts: pa.Array, most: int = 1 << 19):
+    """(from, to) of runs of rows with about ``most`` bytes of text together; a longer text comes alone."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 1)])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
+        yield at, to
+        at = to

@@ -36,6 +36,25 @@ def test_search_fuzzy_against_windows(spark):
         search.create_engine([], strategy="other")
 
 
+@pytest.mark.parametrize("edits, overlap", [(None, "per_uid"), ([(10, 1)], "all")])
+def test_search_gives_away_what_it_found(edits, overlap):
+    import pyarrow as pa
+
+    class Sent:
+        value = [("1", "ann", 0, 0), ("1", "ann lee", 0, 1), ("2", "john smithson", 1, 0)]
+
+    texts = ["ann lee and jon smithson, " * (i % 50) for i in range(2000)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(2000), None]), pa.array(texts)], ["doc", "text"])
+    parts = list(search._searcher(Sent, edits, overlap, None)([batch]))
+    assert len(parts) > 1 and max(p.num_rows for p in parts) < search.MOST_ROWS + 200  # those of one text
+    find, got = search.Finder(Sent.value, edits), [tuple(x.values()) for p in parts for x in p.to_pylist()]
+    want = []
+    for i, t in enumerate(texts[:-1]):
+        hits = search._apart(find(t), Sent.value) if overlap == "per_uid" else find(t)
+        want += sorted(((i, Sent.value[k][0], 1, t[s:e], s, e, *Sent.value[k][2:], d) for k, s, e, d in hits), key=lambda x: (x[0], x[6], x[7], x[4]))
+    assert got == want and got
+
+
 def test_row_numbers_are_dense_and_in_order(spark):
     d = spark.range(0, 5000, 3, 7).withColumn("k", F.col("id") * 100)
     assert [x.n for x in numbered(d, "n").orderBy("id").collect()] == list(range(d.count()))
