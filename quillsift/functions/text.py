@@ -8,13 +8,17 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..plans.shared import text_slices
 from .stem import porter, porter2
 from .stopwords import ENGLISH
 
+#: Words whose stems a task remembers, and of those before them.
+MOST_STEMS = 1 << 17
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 SENTENCE_KEEPERS = "Dr Gov Jr Mr Mrs Ms Prof Rep Sen Sr".split()
 #: Signs of a person nearby: forms of address, ways to speak, relations.
@@ -108,25 +112,36 @@ def clean_text_by(c: Column, special: bool = True, accents: bool = True, stopwor
     return remove_extra_space(remove_punctuation(c) if punctuation else c)
 
 
-def stemmed(c: Column, snowball: bool = False) -> Column:
-    stem = porter2 if snowball else porter
+class _Stems:
+    """Texts with stems for words; of these the last ones, at least ``most``, are remembered, and those in use stay."""
+
+    def __init__(self, stem, most: int):
+        self.stem, self.most, self.known, self.older = stem, most, {}, {}
 
-    def run(s: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
+    def __call__(self, text: str | None) -> str | None:
+        if text is None:
+            return None
+        out = []
+        for w in re.findall(r"\w+|[^\w\s]+", text):
+            if (s := self.known.get(w)) is None:
+                if len(self.known) >= self.most:
+                    self.known, self.older = {}, self.known
+                if (s := self.older.get(w)) is None:
+                    s = self.stem(w)
+                self.known[w] = s
+            out.append(s)
+        return " ".join(out)
 
-        def one(t):
-            if t is None:
-                return None
-            out = []
-            for w in re.findall(r"\w+|[^\w\s]+", t):
-                if w not in known:
-                    known[w] = stem(w)
-                out.append(known[w])
-            return " ".join(out)
 
-        return s.map(one)
+def stemmed(c: Column, snowball: bool = False) -> Column:
+    one = _Stems(porter2 if snowball else porter, MOST_STEMS)
+
+    def run(texts: pa.Array) -> pa.Array:
+        """A batch of Spark's lies here once, and once stemmed; of Python's strings only those of a slice."""
+        parts = [pa.array(map(one, texts[a:b].to_pylist()), pa.string()) for a, b in text_slices(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    return F.pandas_udf(run, StringType())(c)
+    return F.arrow_udf(run, StringType())(c)
 
 
 def _sentence_break() -> str:

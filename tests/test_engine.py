@@ -242,6 +242,19 @@ def test_stemmers_on_known_words():
     assert {w: porter2(w) for w in known} == known
 
 
+def test_stems_of_bounded_memory(spark):
+    from quillsift.functions.stem import porter
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["running", "cats", f"walked{chr(97 + r.randint(0, 25))}{chr(97 + r.randint(0, 25))}"]) for _ in range(50)) for _ in range(40)]
+    want = [" ".join(map(porter, t.split())) for t in texts]
+    stems = T._Stems(porter, 20)
+    for t, w in zip(texts, want):
+        assert stems(t) == w and len(stems.known) <= 20 and len(stems.older) <= 20
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "i int, t string").coalesce(1)
+    assert [x.s for x in d.select("i", T.stemmed(F.col("t")).alias("s")).orderBy("i").collect()] == [*want, None, ""]
+
+
 def test_engines_of_ones_own():
     class First(search.BaseSearchEngine):
         def hits(self, text):
